@@ -309,38 +309,45 @@ def newest_kill_deltas(boss_rows: DataFrame) -> DataFrame:
     return _delta(ranked.filter((F.col("_rank") == 1) & F.col("right_id").isNotNull()))
 
 
-def compared_spells(events: DataFrame, left: int, right: int, log_id: str | None = None) -> DataFrame:
+def _two_combats(events: DataFrame, left, right, log_id: str | None) -> DataFrame:
+    rows = events.filter((F.col("combat_id") == left) | (F.col("combat_id") == right))
+    return rows if log_id is None else rows.filter(F.col("log_id") == log_id)
+
+
+def _as_id(combat: int | Column) -> Column:
+    return combat if isinstance(combat, Column) else F.lit(combat).cast("bigint")
+
+
+def compared_spells(
+    events: DataFrame, left: int | Column, right: int | Column, log_id: str | None = None
+) -> DataFrame:
     """Abilities of either combat in display order: left by use, then right-only by use."""
-    rows = events.filter(F.col("combat_id").isin(left, right))
-    if log_id is not None:
-        rows = rows.filter(F.col("log_id") == log_id)
+    left, right = _as_id(left), _as_id(right)
     side = F.when(F.col("combat_id") == left, 0).otherwise(1)
-    place = spell_ranks(rows).groupBy("log_id", "spell_name").agg(
-        F.min(F.struct(side.alias("side"), "spell_rank")).alias("place")
+    place = (
+        spell_ranks(_two_combats(events, left, right, log_id))
+        .groupBy("log_id", "spell_name")
+        .agg(F.min(F.struct(side.alias("side"), "spell_rank")).alias("place"))
     )
     order = Window.partitionBy("log_id").orderBy("place", "spell_name")
     return place.select("log_id", "spell_name", F.row_number().over(order).alias("position"))
 
 
-def rotation_compare(events: DataFrame, left: int, right: int, log_id: str | None = None) -> DataFrame:
+def rotation_compare(
+    events: DataFrame, left: int | Column, right: int | Column, log_id: str | None = None
+) -> DataFrame:
     """Timeline events of both combats, side by side on the same abilities.
 
     An ability that one side lacks appears there once, as a padding row at
     elapsed -1.
     """
-    rows = events.filter(F.col("combat_id").isin(left, right))
-    if log_id is not None:
-        rows = rows.filter(F.col("log_id") == log_id)
+    left, right = _as_id(left), _as_id(right)
+    rows = _two_combats(events, left, right, log_id)
     spells = compared_spells(rows, left, right)
-    sides = rows.select("log_id").distinct().withColumn(
-        "side",
-        F.explode(
-            F.array(
-                F.struct(F.lit("Left").alias("side"), F.lit(left).cast("bigint").alias("combat_id")),
-                F.struct(F.lit("Right").alias("side"), F.lit(right).cast("bigint").alias("combat_id")),
-            )
-        ),
-    ).select("log_id", "side.side", "side.combat_id")
+    logs = rows.select("log_id").distinct()
+    sides = logs.select("log_id", F.lit("Left").alias("side"), left.alias("combat_id")).unionByName(
+        logs.select("log_id", F.lit("Right").alias("side"), right.alias("combat_id"))
+    )
     shown = rotation_timeline(rows, top=None).join(spells, ["log_id", "spell_name"]).join(sides, COMBAT)
     columns = ["log_id", "side", "spell_name", "position", "elapsed_s", "type", "effective_amount"]
     present = shown.select("log_id", "side", "spell_name").distinct()

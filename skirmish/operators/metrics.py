@@ -344,9 +344,12 @@ def loaded_encounters(events: DataFrame) -> DataFrame:
     )
 
 
-def recent_events(events: DataFrame, combat_id: int, n: int = 200, log_id: str | None = None) -> DataFrame:
+def recent_events(
+    events: DataFrame, combat_id: int | Column, n: int = 200, log_id: str | None = None
+) -> DataFrame:
     """Last n events of one combat by time."""
-    rows = events.filter(F.col("combat_id") == combat_id)
+    wanted = combat_id if isinstance(combat_id, Column) else F.lit(combat_id)
+    rows = events.filter(F.col("combat_id") == wanted)
     if log_id is not None:
         rows = rows.filter(F.col("log_id") == log_id)
     return rows.orderBy(F.desc("ts"), F.desc("seq")).limit(n).select(

@@ -20,10 +20,10 @@ def _coordinate_index() -> Column:
 
 
 def _located(lines: DataFrame, start, end) -> DataFrame:
-    """Located rows with ts in [start, end]; bounds are columns or timestamps."""
+    """Located rows with ts in [start, end]; bounds are timestamps, their text, or columns."""
     heads = parse_raw_events(lines)
     wanted = F.col("event").contains("DAMAGE") | F.col("event").contains("HEAL")
-    rows = heads.filter(wanted & F.col("ts").between(F.lit(start), F.lit(end)))
+    rows = heads.filter(wanted & F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
     rows = rows.withColumn("_at", _coordinate_index()).filter(F.col("_at").isNotNull())
     return rows.withColumns(
         {
@@ -35,7 +35,7 @@ def _located(lines: DataFrame, start, end) -> DataFrame:
 
 def extract_positions(lines: DataFrame, start, end) -> DataFrame:
     """Where the acting unit stood: t seconds after start, guid, x, y."""
-    elapsed = seconds(F.unix_micros("ts") - F.unix_micros(F.lit(start)))
+    elapsed = seconds(F.unix_micros("ts") - F.unix_micros(F.lit(start).cast("timestamp")))
     return _located(lines, start, end).select(
         "log_id", "seq", F.bround(elapsed, 2).alias("t"), F.col("src_guid").alias("guid"), "x", "y"
     )
