@@ -15,35 +15,51 @@ from skirmish.functions.scalars import log_time
 
 # One field after its comma: quoted (doubled quotes inside) or plain.
 _FIELD = r""",("[^"]*+(?:""[^"]*+)*+"?+[^,]*|[^,]*)"""
+_NO_QUOTED_COMMA = r"""^(?:[^"]++|"[^",]*+")*+$"""
+
+
+def _once(df: DataFrame, value: Column, name: str, keep: list[str]) -> DataFrame:
+    """Add a column that is worked out once per row.
+
+    A filter on a plain projected column moves below the projection and repeats
+    the column's expression there. A generator keeps such filters above it.
+    """
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
 def _headers(lines: DataFrame, strip_line: bool = False) -> DataFrame:
     """Split at the first comma, then the part before it at its last blank run."""
     value = F.trim(F.col("value")) if strip_line else F.col("value")
     comma = F.instr(value, ",")
-    header = F.regexp_replace(F.substring_index(value, ",", 1), r"^\s+|\s+$", "")
-    split = lines.filter(comma > 0).select(
-        "log_id", "seq", header.alias("_header"), F.substr(value, comma).alias("_fields")
+    header = F.trim(F.translate(F.substring_index(value, ",", 1), "\t\r\f\v", "    "))
+    split = F.struct(
+        header.alias("header"),
+        F.substring_index(header, " ", -1).alias("event"),
+        F.substr(value, comma + 1).alias("fields"),
     )
-    pattern = F.lit(r"^(.*\S)\s+(\S+)$")
-    return split.select(
+    rows = _once(lines.filter(comma > 0), split, "_line", ["log_id", "seq"])
+    time_length = F.length("_line.header") - F.length("_line.event")
+    return rows.filter(time_length > 0).select(
         "log_id",
         "seq",
-        F.regexp_extract("_header", r"^(.*\S)\s+(\S+)$", 1).alias("ts_text"),
-        F.regexp_extract("_header", r"^(.*\S)\s+(\S+)$", 2).alias("event"),
-        "_header",
-        "_fields",
-    ).filter(F.regexp_like("_header", pattern))
+        F.rtrim(F.substr(F.col("_line.header"), F.lit(1), time_length)).alias("ts_text"),
+        F.col("_line.event").alias("event"),
+        F.col("_line.fields").alias("_fields"),
+    )
 
 
 def _tokens(headers: DataFrame) -> DataFrame:
-    """Fields after the first comma; quotes are dropped from every field."""
-    raw = F.regexp_extract_all("_fields", F.lit(_FIELD), F.lit(1))
-    parts = F.when(
-        F.contains(F.col("_fields"), F.lit('"')),
-        F.transform(raw, lambda p: F.replace(p, F.lit('"'), F.lit(""))),
-    ).otherwise(F.split(F.substr(F.col("_fields"), F.lit(2)), ","))
-    return headers.withColumn("parts", parts).drop("_fields", "_header")
+    """Fields after the first comma; quotes are dropped from every field.
+
+    Lines without a comma inside quotes, nearly all, are split at commas; only
+    the others are matched field by field.
+    """
+    mark = "\u0002"
+    plain = F.split(F.replace("_fields", F.lit('"'), F.lit("")), ",")
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "_fields"), F.lit(_FIELD), F.lit(1))
+    quoted = F.split(F.replace(F.array_join(fields, mark), F.lit('"'), F.lit("")), mark)
+    parts = F.when(F.regexp_like("_fields", F.lit(_NO_QUOTED_COMMA)), plain).otherwise(quoted)
+    return _once(headers, parts, "parts", [c for c in headers.columns if c != "_fields"])
 
 
 def part(index: int) -> Column:
@@ -51,17 +67,22 @@ def part(index: int) -> Column:
     return F.try_element_at("parts", F.lit(index + 1 if index >= 0 else index))
 
 
-def integer(text: Column, default: int | None = 0) -> Column:
-    """Whole number, ``default`` for anything else."""
-    number = F.when(F.regexp_like(text, F.lit(r"^\s*[+-]?[0-9]+\s*$")), text.try_cast("bigint"))
-    return number if default is None else F.coalesce(number, F.lit(default))
+def integer(text: Column) -> Column:
+    """Whole number, 0 for anything else."""
+    return F.coalesce(text.try_cast("bigint"), F.lit(0))
+
+
+_HEX = r"^\s*(?:0[xX])?[0-9a-fA-F]+\s*$"
 
 
-def flags(text: Column, default: int | None = 0) -> Column:
-    """Hexadecimal flag field, with or without 0x."""
-    digits = F.regexp_extract(text, r"^\s*(?:0[xX])?([0-9a-fA-F]+)\s*$", 1)
-    number = F.when(digits != "", F.conv(digits, 16, 10).try_cast("bigint"))
-    return number if default is None else F.coalesce(number, F.lit(default))
+def is_hex(text: Column) -> Column:
+    return F.coalesce(F.regexp_like(text, F.lit(_HEX)), F.lit(False))
+
+
+def flags(text: Column) -> Column:
+    """Hexadecimal flag field, with or without 0x; 0 for anything else."""
+    digits = F.replace(F.lower(F.trim(text)), F.lit("0x"), F.lit(""))
+    return F.coalesce(F.when(is_hex(text), F.conv(digits, 16, 10).try_cast("bigint")), F.lit(0))
 
 
 def has_flags(flag_column: str | Column, mask: int) -> Column:
@@ -74,9 +95,10 @@ def is_mine(flag_column: str) -> Column:
     return has_flags(flag_column, fixed.FLAG_MINE)
 
 
-def is_active_player(flag_column: str) -> Column:
+def is_active_player(flag_column: str | Column) -> Column:
+    c = F.col(flag_column) if isinstance(flag_column, str) else flag_column
     mask = F.lit(fixed.FLAG_ACTIVE_PLAYER)
-    return F.col(flag_column).bitwiseAND(mask) == mask
+    return c.bitwiseAND(mask) == mask
 
 
 def is_enemy(flag_column: str) -> Column:
@@ -117,37 +139,41 @@ def parse_raw_events(lines: DataFrame, events: tuple[str, ...] | None = None) ->
     )
 
 
-def _player_rows(lines: DataFrame) -> DataFrame:
-    """Lines that can become player events, with the flags that decide it."""
-    event = F.col("event")
-    wanted = (
-        event.contains("HEAL")
-        | (event.contains("DAMAGE") & event.contains("SPELL"))
-        | event.isin("SWING_DAMAGE", "SPELL_ABSORBED")
+def _spell_layout() -> Column:
+    """An absorb row names the absorbed spell, in three more fields, if field 8 is a number."""
+    return F.coalesce(F.substr(part(8), F.lit(1), F.lit(1)).between("0", "9"), F.lit(False))
+
+
+def _layout(spell_index: int, swing_index: int) -> Column:
+    """What a row is, and where (counted from 1) its fields stand."""
+    event, width = F.col("event"), F.size("parts")
+    absorb = (event == "SPELL_ABSORBED") & (width >= 18)
+    shift = F.when(_spell_layout(), 3).otherwise(0)
+    kind = (
+        F.when(absorb, "absorb")
+        .when(event.contains("HEAL") & (width >= 10), "heal")
+        .when(event.contains("DAMAGE") & event.contains("SPELL") & (width >= 10), "damage")
+        .when(event == "SWING_DAMAGE", "melee")
+    )
+
+    def from_end(index: int) -> Column:
+        return F.when(width >= -index, F.lit(index)).otherwise(-1)
+
+    amount_at = (
+        F.when(absorb, shift + 16)
+        .when(event.contains("HEAL"), -5)
+        .when(event == "SWING_DAMAGE", from_end(swing_index))
+        .otherwise(from_end(spell_index))
+    )
+    return F.struct(
+        kind.alias("kind"),
+        F.when(absorb, shift + 10).otherwise(2).alias("source_at"),
+        F.when(absorb, shift + 11).otherwise(3).alias("flags_at"),
+        F.when(absorb, shift + 14).otherwise(10).alias("spell_at"),
+        amount_at.alias("amount_at"),
+        # An absorb row without a layout mark, or too short for its layout, is dropped.
+        (~absorb | ((part(8) != "") & ((shift == 0) | (width >= 21)))).alias("complete"),
     )
-    rows = _tokens(_headers(lines, strip_line=True).filter(wanted))
-    rows = rows.withColumn("width", F.size("parts")).filter(F.col("width") >= 3)
-    rows = rows.withColumn("src_flags", flags(part(2), default=None))
-    rows = rows.filter(F.col("src_flags").isNotNull())
-    is_absorb = (event == "SPELL_ABSORBED") & (F.col("width") >= 18)
-    by_spell = F.regexp_like(part(8), F.lit("^[0-9]"))
-    return rows.withColumns(
-        {
-            "kind": F.when(is_absorb, "absorb")
-            .when(event.contains("HEAL") & (F.col("width") >= 10), "heal")
-            .when(
-                event.contains("DAMAGE") & event.contains("SPELL") & (F.col("width") >= 10), "damage"
-            )
-            .when(event == "SWING_DAMAGE", "melee"),
-            # Where the shield block starts: after a spell triple, or at once.
-            "shift": F.when(by_spell, 3).otherwise(0),
-        }
-    ).filter(F.col("kind").isNotNull())
-
-
-def _shield(index: int) -> Column:
-    """Field of an absorb row, counted in the layout without a spell triple."""
-    return F.when(F.col("shift") == 3, part(index + 3)).otherwise(part(index))
 
 
 def parse_player_events(
@@ -158,66 +184,53 @@ def parse_player_events(
     ``spell_index`` and ``swing_index`` are where the amount of spell and of
     melee damage stands, counted from the end.
     """
-    kind = F.col("kind")
-    rows = _player_rows(lines).withColumn(
-        "owner_flags", F.when(kind == "absorb", flags(_shield(10))).otherwise(F.col("src_flags"))
-    )
-    rows = rows.filter(is_mine("owner_flags"))
-    # An absorb row with no layout mark, or too short for its layout, is dropped.
-    rows = rows.filter(
-        (kind != "absorb")
-        | ((part(8) != "") & ((F.col("shift") == 0) | (F.col("width") >= 21)))
+    event, kind = F.col("event"), F.col("at.kind")
+    wanted = (
+        event.contains("HEAL")
+        | (event.contains("DAMAGE") & event.contains("SPELL"))
+        | event.isin("SWING_DAMAGE", "SPELL_ABSORBED")
     )
+    keep = ["log_id", "seq", "ts_text", "event", "parts"]
 
-    def from_end(index: int) -> Column:
-        return F.when(F.col("width") >= -index, integer(part(index))).otherwise(integer(part(-1)))
+    def at(place: str) -> Column:
+        return F.try_element_at("parts", F.col(f"at.{place}"))
 
-    amount = (
-        F.when(kind == "absorb", integer(_shield(15)))
-        .when(kind == "heal", integer(part(-5)))
-        .when(kind == "damage", from_end(spell_index))
-        .otherwise(from_end(swing_index))
-    )
-    numeric_id = F.when(
-        kind.isin("heal", "damage") & F.regexp_like(part(8), F.lit("^[0-9]+$")), integer(part(8))
-    )
-    rows = rows.withColumn("amount", amount)
+    rows = _tokens(_headers(lines, strip_line=True).filter(wanted))
+    rows = rows.filter((F.size("parts") >= 3) & is_hex(part(2)))
+    rows = _once(rows, _layout(spell_index, swing_index), "at", keep)
+    rows = rows.filter(kind.isNotNull() & F.col("at.complete"))
+    rows = _once(rows, flags(at("flags_at")), "owner_flags", [*keep, "at"]).filter(is_mine("owner_flags"))
+    rows = _once(rows, integer(at("amount_at")), "amount", [*keep, "at", "owner_flags"])
+    by_id = kind.isin("heal", "damage") & F.regexp_like(part(8), F.lit("^[0-9]+$"))
+    healed = F.greatest(F.lit(0), F.col("amount") - integer(part(-3)))
     return rows.select(
         "log_id",
         "seq",
         log_time("ts_text").alias("ts"),
         "event",
-        F.when(kind == "absorb", _shield(9)).otherwise(part(1)).alias("source"),
+        at("source_at").alias("source"),
         F.coalesce(part(5), F.lit("")).alias("target"),
-        F.when(kind == "absorb", _shield(13))
-        .when(kind == "melee", "Melee")
-        .otherwise(part(9))
-        .alias("spell_name"),
+        F.when(kind == "melee", "Melee").otherwise(at("spell_at")).alias("spell_name"),
         "amount",
-        F.when(kind == "heal", F.greatest(F.lit(0), F.col("amount") - integer(part(-3))))
-        .otherwise(F.col("amount"))
-        .alias("effective_amount"),
+        F.when(kind == "heal", healed).otherwise(F.col("amount")).alias("effective_amount"),
         F.when(kind == "melee", "damage").otherwise(kind).alias("type"),
-        F.coalesce(numeric_id, F.lit(0)).cast("bigint").alias("spell_id"),
+        F.coalesce(F.when(by_id, part(8).try_cast("bigint")), F.lit(0)).cast("bigint").alias("spell_id"),
         is_active_player("owner_flags").alias("by_active_player"),
     )
 
 
 def active_character(lines: DataFrame) -> DataFrame:
     """Per log: the first active player that acts, by line order."""
-    rows = _tokens(_headers(lines, strip_line=True)).withColumn("width", F.size("parts"))
-    rows = rows.filter(F.col("width") >= 3).withColumn("src_flags", flags(part(2), default=None))
-    rows = rows.filter(F.col("src_flags").isNotNull())
-    by_spell = F.regexp_like(part(8), F.lit("^[0-9]"))
-    layout = (F.col("event") == "SPELL_ABSORBED") & (
-        ((F.col("width") >= 18) & ~by_spell & (part(8) != "")) | ((F.col("width") >= 21) & by_spell)
-    )
-    rows = rows.withColumn("shift", F.when(by_spell, 3).otherwise(0))
-    rows = rows.withColumn("caster_flags", F.when(layout, flags(_shield(10))).otherwise(F.lit(0)))
-    name = F.when(is_active_player("src_flags"), part(1)).when(
-        is_active_player("caster_flags"), _shield(9)
+    width = F.size("parts")
+    absorb = (F.col("event") == "SPELL_ABSORBED") & (width >= F.when(_spell_layout(), 21).otherwise(18))
+    shift = F.when(_spell_layout(), 3).otherwise(0)
+    rows = _tokens(_headers(lines, strip_line=True)).filter((width >= 3) & is_hex(part(2)))
+    owner = flags(part(2))
+    caster = flags(F.try_element_at("parts", shift + 11))
+    name = F.when(is_active_player(owner), part(1)).when(
+        absorb & (part(8) != "") & is_active_player(caster), F.try_element_at("parts", shift + 10)
     )
-    named = rows.select("log_id", "seq", name.alias("name")).filter(F.col("name").isNotNull())
+    named = _once(rows, name, "name", ["log_id", "seq"]).filter(F.col("name").isNotNull())
     return named.groupBy("log_id").agg(F.min_by("name", "seq").alias("active_character"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,9 @@ from skirmish.operators import runs as rn
 from skirmish.operators import spells as sp
 from skirmish.operators import timeseries as tm
 from skirmish.plans import adapters as ad
+from skirmish.plans.dashboard import encounter_table
 from skirmish.plans.import_logs import encounters_of, stamped_events
+from skirmish.session import cut
 from skirmish.sources import sidecars, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +65,10 @@ class _Data:
     def orders(self) -> DataFrame:
         return ad.combat_from_orders(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def lines(self) -> DataFrame:
-        return ad.raw_lines(self.spark, self.sf_dir)
+        """Log text as a table, as a log import would read it."""
+        return cut(ad.raw_lines(self.spark, self.sf_dir))
 
     @property
     def kills(self) -> DataFrame:
@@ -74,10 +78,10 @@ class _Data:
     def healers(self) -> DataFrame:
         return ad.healer_spells(self.ev)
 
-    @property
+    @cached_property
     def enc(self) -> DataFrame:
         """Encounters with run_id."""
-        return rn.assign_runs(rn.encounter_summary(self.ev))
+        return encounter_table(self.ev)
 
     @property
     def roles(self) -> DataFrame:
@@ -171,11 +175,11 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     "run_abilities_damage": lambda d: sp.run_abilities(d.ev, d.enc, "damage"),
     "run_abilities_healing": lambda d: sp.run_abilities(d.ev, d.enc, HEALING),
     # Series.
-    "time_series": lambda d: tm.time_series(d.ev),
-    "time_series_spell": lambda d: tm.time_series(d.ev, spell_filter="S3"),
-    "time_series_spell_damage": lambda d: tm.time_series(d.ev, spell_filter="S3 [Damage]"),
-    "smooth": lambda d: tm.smooth(tm.time_series(d.ev), 10, 2),
-    "series_long": lambda d: tm.series_long(tm.time_series(d.ev)),
+    "time_series": lambda d: tm.time_series(mt.in_combat(d.ev), 5),
+    "time_series_spell": lambda d: tm.time_series(mt.in_combat(d.ev), 5, "S3"),
+    "time_series_spell_damage": lambda d: tm.time_series(mt.in_combat(d.ev), 5, "S3 [Damage]"),
+    "smooth": lambda d: tm.smooth(tm.time_series(mt.in_combat(d.ev), 5), 10, 5),
+    "series_long": lambda d: tm.series_long(tm.time_series(mt.in_combat(d.ev), 5)),
     "encounter_trend": lambda d: tm.encounter_trend(mt.encounter_stats(d.ev)),
     "trend_long": lambda d: tm.trend_long(tm.encounter_trend(mt.encounter_stats(d.ev))),
     "cumulative_frames": lambda d: tm.cumulative_frames(d.ev),

@@ -108,17 +108,17 @@ boss AS (SELECT m.boss_name, m.log_id, m.combat_id, player AS character, split_p
       AND (e.zone_id = k.zone_id OR e.zone_id = 0 OR k.zone_id = 0)) WHERE r = 1) m
   JOIN player USING (log_id, combat_id) JOIN roles USING (log_id, run_id) WHERE r2 = 1)""",
     "buckets": """
-buckets AS (SELECT log_id, combat_id, us // 2000000 * 2000000 AS bucket,
+buckets AS (SELECT log_id, combat_id, us // 5000000 * 5000000 AS bucket,
   CAST(coalesce(sum(effective_amount) FILTER (type = 'damage'), 0) AS BIGINT) AS dps,
   CAST(coalesce(sum(effective_amount) FILTER (type IN ('heal', 'absorb')), 0) AS BIGINT) AS hps,
   CAST(coalesce(sum(effective_amount) FILTER (type = 'damage' AND spell_name = 'S3'), 0) AS BIGINT) AS sel_d,
   CAST(coalesce(sum(effective_amount) FILTER (type IN ('heal', 'absorb') AND spell_name = 'S3'), 0) AS BIGINT) AS sel_h,
   bool_or(type = 'damage') AS has_d, bool_or(type IN ('heal', 'absorb')) AS has_h
-  FROM ev WHERE type IN ('damage', 'heal', 'absorb') GROUP BY ALL)""",
+  FROM fights WHERE type IN ('damage', 'heal', 'absorb') GROUP BY ALL)""",
     "spine": """
-spine AS (SELECT log_id, combat_id, unnest(range(lo, hi + 1, 2000000)) AS bucket
+spine AS (SELECT log_id, combat_id, unnest(range(lo, hi + 1, 5000000)) AS bucket
     FROM (SELECT log_id, combat_id, min(bucket) AS lo, max(bucket) AS hi FROM buckets WHERE has_d GROUP BY ALL)
-  UNION SELECT log_id, combat_id, unnest(range(lo, hi + 1, 2000000)) AS bucket
+  UNION SELECT log_id, combat_id, unnest(range(lo, hi + 1, 5000000)) AS bucket
     FROM (SELECT log_id, combat_id, min(bucket) AS lo, max(bucket) AS hi FROM buckets WHERE has_h GROUP BY ALL))""",
     "series": """
 series AS (SELECT log_id, combat_id, bucket, coalesce(dps, 0) AS dps, coalesce(hps, 0) AS hps,
@@ -218,6 +218,10 @@ raw AS (SELECT log_id, seq, us,
     "markers": """
 markers AS (SELECT log_id, seq, us, CASE k % 10 WHEN 1 THEN 'START' ELSE 'END' END AS marker, 'Boss' || (user_id % 5) AS boss_name,
   user_id % 4 AS zone, user_id % 2 AS flag FROM lines WHERE event_type = 'error' AND k % 10 IN (1, 2))""",
+    "located": """
+located AS (SELECT *, CASE event_type WHEN 'view' THEN CAST(amount AS DOUBLE) ELSE CAST(100 + k AS DOUBLE) END AS x,
+  CASE event_type WHEN 'view' THEN CAST(amount AS DOUBLE) ELSE CAST(-200 - user_id % 50 AS DOUBLE) END AS y
+  FROM lines WHERE event_type = 'click' OR (event_type = 'view' AND amount > 10))""",
 }
 
 
@@ -500,7 +504,7 @@ FROM (SELECT log_id, run_id, combat_id, target, is_boss, 'dps' AS stat, dps AS v
     ),
     "smooth": (
         """SELECT log_id, combat_id, bucket AS bucket_ts, avg(dps) OVER w AS dps, avg(hps) OVER w AS hps FROM series
-WINDOW w AS (PARTITION BY log_id, combat_id ORDER BY bucket ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
+WINDOW w AS (PARTITION BY log_id, combat_id ORDER BY bucket ROWS BETWEEN 1 PRECEDING AND 0 FOLLOWING)""",
         "dps hps",
     ),
     "series_long": (
@@ -637,15 +641,15 @@ FROM (SELECT log_id, CAST(sum(effective_amount) FILTER (type = 'damage') AS BIGI
         "duration_s avg_dps avg_hps",
     ),
     "extract_positions": (
-        """SELECT log_id, seq, round_even((us - 1704067200000000) / 1e6, 2) AS t, pguid AS guid, CAST(100 + k AS DOUBLE) AS x, CAST(-200 - user_id % 50 AS DOUBLE) AS y
-FROM lines WHERE event_type = 'click'""",
+        """SELECT log_id, seq, round_even((us - 1704067200000000) / 1e6, 2) AS t, pguid AS guid, x, y FROM located """,
         "t x y",
     ),
     "position_units": (
         """SELECT log_id, guid, name, role, CASE WHEN role = 'actor' THEN (row_number() OVER (PARTITION BY log_id, role ORDER BY seq) - 1) % 6 END AS color_slot
-FROM (SELECT log_id, guid, arg_min(name, seq) AS name, role, min(seq) AS seq FROM (
-  SELECT log_id, seq, pguid AS guid, pname AS name, 'actor' AS role FROM lines WHERE event_type = 'click'
-  UNION ALL SELECT log_id, seq, eguid, ename, 'target' FROM lines WHERE event_type = 'click') GROUP BY ALL)""",
+FROM (SELECT log_id, guid, arg_min(name, place) AS name, arg_min(role, place) AS role, min(place) AS seq FROM (
+  SELECT log_id, seq * 2 AS place, pguid AS guid, pname AS name, 'actor' AS role FROM located
+  UNION ALL SELECT log_id, seq * 2 + 1, CASE event_type WHEN 'view' THEN pguid ELSE eguid END,
+    CASE event_type WHEN 'view' THEN pname ELSE ename END, 'target' FROM located ) GROUP BY log_id, guid)""",
         "",
     ),
 }
