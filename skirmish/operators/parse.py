@@ -62,6 +62,12 @@ def _tokens(headers: DataFrame) -> DataFrame:
     return _once(headers, parts, "parts", [c for c in headers.columns if c != "_fields"])
 
 
+def _timed(headers: DataFrame) -> DataFrame:
+    """Header rows with a valid time, as ts."""
+    keep = [c for c in headers.columns if c != "ts_text"]
+    return _once(headers, log_time("ts_text"), "ts", keep).filter(F.col("ts").isNotNull())
+
+
 def part(index: int) -> Column:
     """Field by position from 0; negative counts from the end; null if absent."""
     return F.try_element_at("parts", F.lit(index + 1 if index >= 0 else index))
@@ -120,22 +126,20 @@ def parse_raw_events(lines: DataFrame, events: tuple[str, ...] | None = None) ->
 
     ``events`` keeps only lines of these events, before fields are cut.
     """
-    heads = _headers(lines).withColumn("ts", log_time("ts_text"))
+    heads = _headers(lines)
     if events is not None:
         heads = heads.filter(F.col("event").isin(*events))
-    rows = _tokens(heads.filter(F.col("ts").isNotNull())).filter(F.size("parts") >= 8)
-    return rows.select(
-        "log_id",
-        "seq",
-        "ts",
-        "event",
+    rows = _tokens(_timed(heads)).filter(F.size("parts") >= 8)
+    fields = F.struct(
         part(0).alias("src_guid"),
         part(1).alias("src_name"),
         flags(part(2)).alias("src_flags"),
         part(4).alias("dst_guid"),
         part(5).alias("dst_name"),
         flags(part(6)).alias("dst_flags"),
-        "parts",
+    )
+    return _once(rows, fields, "f", ["log_id", "seq", "ts", "event", "parts"]).select(
+        "log_id", "seq", "ts", "event", "f.*", "parts"
     )
 
 
@@ -258,8 +262,8 @@ def log_summary(parsed: DataFrame) -> DataFrame:
 
 def parse_zone_changes(lines: DataFrame) -> DataFrame:
     heads = _headers(lines.filter(F.col("value").contains("ZONE_CHANGE")))
-    heads = heads.filter(F.col("event") == "ZONE_CHANGE").withColumn("ts", log_time("ts_text"))
-    rows = _tokens(heads.filter(F.col("ts").isNotNull())).filter(F.size("parts") >= 2)
+    heads = _timed(heads.filter(F.col("event") == "ZONE_CHANGE"))
+    rows = _tokens(heads).filter(F.size("parts") >= 2)
     return rows.select(
         "log_id", "seq", "ts", integer(part(0)).cast("int").alias("zone_id"), part(1).alias("zone_name")
     )
@@ -270,7 +274,7 @@ def parse_boss_markers(lines: DataFrame) -> DataFrame:
     maybe = F.col("value").contains("ENCOUNTER_START") | F.col("value").contains("ENCOUNTER_END")
     heads = _headers(lines.filter(maybe))
     heads = heads.filter(F.col("event").isin("ENCOUNTER_START", "ENCOUNTER_END"))
-    rows = _tokens(heads.withColumn("ts", log_time("ts_text")).filter(F.col("ts").isNotNull()))
+    rows = _tokens(_timed(heads))
     starts = F.col("event") == "ENCOUNTER_START"
     fifth = integer(part(4)).cast("int")
     return rows.select(

@@ -162,7 +162,8 @@ def encounter_intervals(hostile: DataFrame, timeout_s: float = fixed.ENCOUNTER_T
     order, uncondensed and in one part.
     """
     timeout_us = int(round(timeout_s * 1_000_000))
-    counted = cut(_counted(hostile))
+    # Parsed once: what follows reads these narrow rows, not the log text.
+    counted = cut(_counted(cut(hostile)))
     backwards = counted.filter(F.col("us") < F.col("prev_us")).select("log_id").distinct()
     slot = F.floor(F.col("us") / F.lit(timeout_us)).cast("bigint")
     if backwards.isEmpty():
@@ -220,4 +221,4 @@ def detect_encounters(
 ) -> DataFrame:
     """Encounters of every log, from parsed raw events and zone changes."""
     intervals = cut(encounter_intervals(hostile_rows(raw), timeout_s))
-    return number_encounters(intervals, zones)
+    return number_encounters(intervals, cut(zones))

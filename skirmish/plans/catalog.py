@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from skirmish.fixed import HEALING_TYPES
 from skirmish.operators import compare as cp
-from skirmish.operators import kills as kl
 from skirmish.operators import metrics as mt
 from skirmish.operators import parse as ps
 from skirmish.operators import positions as po
@@ -20,7 +19,7 @@ from skirmish.operators import spells as sp
 from skirmish.operators import timeseries as tm
 from skirmish.plans import adapters as ad
 from skirmish.plans.dashboard import encounter_table
-from skirmish.plans.import_logs import encounters_of, stamped_events
+from skirmish.plans.import_logs import boss_kills_of, encounters_of, stamped_events
 from skirmish.session import cut
 from skirmish.sources import sidecars, tables
 
@@ -206,13 +205,13 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     "parse_player_events": lambda d: ps.parse_player_events(d.lines).drop("by_active_player"),
     "parse_zone_changes": lambda d: ps.parse_zone_changes(d.lines),
     "parse_boss_markers": lambda d: ps.parse_boss_markers(d.lines),
-    "pair_boss_kills": lambda d: kl.pair_boss_kills(ps.parse_boss_markers(d.lines)),
+    "pair_boss_kills": lambda d: boss_kills_of(d.lines),
     "active_character": lambda d: ps.active_character(d.lines),
     "log_summary": lambda d: ps.log_summary(ps.parse_player_events(d.lines)),
     "extract_positions": lambda d: po.extract_positions(d.lines, *MONTH),
     "position_units": lambda d: po.position_units(d.lines, *MONTH),
     "detect_encounters": lambda d: encounters_of(d.lines),
-    "stamped_events": lambda d: stamped_events(d.lines, encounters_of(d.lines)),
+    "stamped_events": lambda d: stamped_events(d.lines, cut(encounters_of(d.lines))),
 }
 
 

@@ -26,6 +26,11 @@ def encounters_of(lines: DataFrame, timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S
     return detect_encounters(raw, parse_zone_changes(lines), timeout_s)
 
 
+def boss_kills_of(lines: DataFrame) -> DataFrame:
+    """Boss kills of the lines; pairing reads the few markers twice, the lines once."""
+    return pair_boss_kills(cut(parse_boss_markers(lines)))
+
+
 def stamped_events(lines: DataFrame, encounters: DataFrame) -> DataFrame:
     events = assign_encounter(parse_player_events(lines), encounters)
     return events.select(*EVENTS.fieldNames())
@@ -46,4 +51,4 @@ def import_logs(
     encounters = cut(encounters_of(lines, timeout_s))
     encounters.write.mode("overwrite").parquet(f"{out}/encounters")
     write_events(stamped_events(lines, encounters), f"{out}/events")
-    write_boss_kills(pair_boss_kills(parse_boss_markers(lines)), f"{out}/boss_kills")
+    write_boss_kills(boss_kills_of(lines), f"{out}/boss_kills")

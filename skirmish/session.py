@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,27 @@ def pin_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Only a session without that setting, as in tests, gets a folder of its own.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="skirmish-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage at a table that several branches read.
 
-    Uses the shared folder named by spark.checkpoint.dir, so a lost executor
-    costs no recomputation of the branches. Only a session without that
-    setting, as in tests, gets a scratch folder of its own.
+    The table is written once to the shared folder and read back, so a lost
+    executor loses none of it, later steps read only the columns they need, and
+    the planner knows its size. (A checkpoint would compute its input twice.)
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skirmish-checkpoint-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/skirmish-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
