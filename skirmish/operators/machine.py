@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 HITS, DEATH = "H", "D"
+STILL_OPEN = "still_open"
 
 
 @dataclass
@@ -52,5 +53,5 @@ class Fight:
         return None
 
     def finish(self) -> tuple | None:
-        """End of the log."""
-        return None if self.open_seq is None else self._close(self.last, "end_of_log")
+        """End of the rows: of the log, or of a part with a quiet gap after it."""
+        return None if self.open_seq is None else self._close(self.last, STILL_OPEN)

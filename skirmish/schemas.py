@@ -44,14 +44,19 @@ RAW_LINES = T.StructType(
     ]
 )
 
-ENCOUNTER_INTERVALS = T.StructType(
+# Encounters of a followed log; batch is the folder of the micro-batch.
+LIVE_ENCOUNTERS = T.StructType(
     [
         T.StructField("log_id", T.StringType()),
+        T.StructField("combat_id", T.LongType()),
         T.StructField("open_seq", T.LongType()),
         T.StructField("start_ts", T.TimestampType()),
         T.StructField("end_ts", T.TimestampType()),
         T.StructField("enemy_guids", T.ArrayType(T.StringType())),
+        T.StructField("zone_id", T.IntegerType()),
+        T.StructField("zone_name", T.StringType()),
         T.StructField("close_reason", T.StringType()),
+        T.StructField("batch", T.StringType()),
     ]
 )
 
