@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 HITS, DEATH = "H", "D"
-STILL_OPEN = "still_open"
+QUIET = "timeout"
 
 
 @dataclass
@@ -33,7 +33,7 @@ class Fight:
     def expire(self, now: int, timeout_us: int) -> tuple | None:
         """Close at the last hostile time if it lies more than the timeout back."""
         if self.open_seq is not None and now - self.last > timeout_us:
-            return self._close(self.last, "timeout")
+            return self._close(self.last, QUIET)
         return None
 
     def hits(self, seq: int, first: int, last: int, guids) -> None:
@@ -54,4 +54,4 @@ class Fight:
 
     def finish(self) -> tuple | None:
         """End of the rows: of the log, or of a part with a quiet gap after it."""
-        return None if self.open_seq is None else self._close(self.last, STILL_OPEN)
+        return None if self.open_seq is None else self._close(self.last, QUIET)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skirmish import fixed, schemas
 from skirmish.functions.scalars import has_text
-from skirmish.operators.machine import DEATH, HITS, STILL_OPEN, Fight
+from skirmish.operators.machine import DEATH, HITS, QUIET, Fight
 from skirmish.operators.parse import has_flags, is_enemy, is_friendly
 from skirmish.operators.scans import running, seq_block
 from skirmish.session import cut
@@ -189,8 +189,7 @@ def encounter_intervals(hostile: DataFrame, timeout_s: float = fixed.ENCOUNTER_T
 def number_encounters(intervals: DataFrame, zones: DataFrame) -> DataFrame:
     """Ids 1, 2, ... per log in opening order, and the zone in force at opening.
 
-    What was open where its part ended is the end of the log for the log's last
-    encounter, and a timeout for any other.
+    An encounter that went quiet ended with the log if it is the log's last one.
     """
     newest = intervals.groupBy("log_id").agg(F.max("open_seq").alias("_newest"))
     valid = zones.filter(has_text("zone_name") & (F.col("zone_name") != fixed.UNKNOWN_ZONE))
@@ -208,8 +207,8 @@ def number_encounters(intervals: DataFrame, zones: DataFrame) -> DataFrame:
         ["open_seq"],
         {"combat_id": ("sum", F.col("_opens")), "in_zone": ("last", F.col("_zone"))},
     )
-    cut_off = F.when(F.col("open_seq") == F.col("_newest"), "end_of_log").otherwise("timeout")
-    reason = F.when(F.col("close_reason") == STILL_OPEN, cut_off).otherwise(F.col("close_reason"))
+    ended = (F.col("close_reason") == QUIET) & (F.col("open_seq") == F.col("_newest"))
+    reason = F.when(ended, "end_of_log").otherwise(F.col("close_reason"))
     return rows.filter(F.col("_opens") == 1).join(newest, "log_id").select(
         "log_id",
         "combat_id",

@@ -127,10 +127,11 @@ def rotation_timeline(events: DataFrame, top: int | None = 20) -> DataFrame:
     ranks = spell_ranks(events)
     if top is not None:
         ranks = ranks.filter(F.col("spell_rank") <= top)
+    # The two small tables meet first, so the events are joined once.
+    ranks = ranks.drop("uses").join(combat_starts(events).select(*COMBAT, "start_ts"), COMBAT)
     return (
         _timeline_rows(events)
-        .join(ranks.select(*COMBAT, "spell_name", "spell_rank"), [*COMBAT, "spell_name"])
-        .join(combat_starts(events).select(*COMBAT, "start_ts"), COMBAT)
+        .join(ranks, [*COMBAT, "spell_name"])
         .select(
             *COMBAT,
             "seq",

@@ -195,6 +195,12 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     "kill_options": lambda d: cp.kill_options(d.boss),
     "newest_kill_deltas": lambda d: cp.newest_kill_deltas(d.boss),
     "rotation_compare": lambda d: cp.rotation_compare(d.ev, d.newest, d.oldest),
+    # Orders read as combats: many small encounters, many sources and targets.
+    "orders_encounter_stats": lambda d: mt.encounter_stats(d.orders),
+    "orders_overall_stats": lambda d: mt.overall_stats(d.orders),
+    "orders_target_totals": lambda d: mt.target_totals(d.orders),
+    "orders_character_counts": lambda d: mt.character_counts(d.orders),
+    "orders_spells": lambda d: sp.spell_aggregates(d.orders, ["damage", *HEALING], None),
     # Side files.
     "upsert_note": lambda d: sidecars.upsert_note(d.notes(), d.note_changes()),
     "toggle_hidden": lambda d: sidecars.toggle_hidden(

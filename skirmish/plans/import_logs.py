@@ -45,9 +45,9 @@ def import_logs(
 ) -> None:
     """Rewrite events/, encounters/ and boss_kills/ below ``out``.
 
-    Lines are numbered once and kept as a table that the three steps read.
+    The text is read once; the steps read the table of its lines.
     """
-    lines = cut(read_raw_logs(spark, paths, log_id))
+    lines = read_raw_logs(spark, paths, log_id)
     encounters = cut(encounters_of(lines, timeout_s))
     encounters.write.mode("overwrite").parquet(f"{out}/encounters")
     write_events(stamped_events(lines, encounters), f"{out}/events")

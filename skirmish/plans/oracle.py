@@ -222,6 +222,59 @@ markers AS (SELECT log_id, seq, us, CASE k % 10 WHEN 1 THEN 'START' ELSE 'END' E
 located AS (SELECT *, CASE event_type WHEN 'view' THEN CAST(amount AS DOUBLE) ELSE CAST(100 + k AS DOUBLE) END AS x,
   CASE event_type WHEN 'view' THEN CAST(amount AS DOUBLE) ELSE CAST(-200 - user_id % 50 AS DOUBLE) END AS y
   FROM lines WHERE event_type = 'click' OR (event_type = 'view' AND amount > 10))""",
+    "oev": """
+oev AS (SELECT 'orders' AS log_id, l_orderkey + 1 AS combat_id, epoch_us(o_orderdate) + l_linenumber * 1000000 AS us,
+  'S' || l_suppkey AS source, 'P' || l_partkey AS target, 'F' || l_linestatus || l_linenumber AS spell_name,
+  CAST(round(l_extendedprice * 100 * (1 - l_discount)) AS BIGINT) AS effective_amount,
+  CASE l_returnflag WHEN 'A' THEN 'absorb' WHEN 'R' THEN 'heal' ELSE 'damage' END AS type
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+    "oenc": """
+oenc AS (SELECT log_id, combat_id, min(us) AS start_us, max(us) AS end_us, (max(us) - min(us)) / 1e6 AS dur,
+  max(us) - min(us) AS span_us,
+  CAST(coalesce(sum(effective_amount) FILTER (type = 'damage'), 0) AS BIGINT) AS dmg,
+  CAST(coalesce(sum(effective_amount) FILTER (type IN ('heal', 'absorb')), 0) AS BIGINT) AS heal
+  FROM oev GROUP BY ALL)""",
+    "hostile": """
+hostile AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY seq) AS rn FROM (
+  SELECT log_id, seq, us, event = 'UNIT_DIED' AS death, dst_guid LIKE 'Player%' AND event = 'UNIT_DIED' AS is_player,
+    CASE WHEN event <> 'UNIT_DIED' AND src_flags = 68168 THEN src_guid ELSE dst_guid END AS guid,
+    min(CASE WHEN event = 'UNIT_DIED' THEN seq END) OVER (PARTITION BY log_id,
+      CASE WHEN event <> 'UNIT_DIED' AND src_flags = 68168 THEN src_guid ELSE dst_guid END) AS died_seq
+  FROM raw WHERE event <> 'SPELL_HEAL') WHERE death OR died_seq IS NULL OR seq < died_seq)""",
+    "fight_steps": """
+fight_steps AS (
+  SELECT DISTINCT log_id, 0 AS rn, CAST(NULL AS BIGINT) AS open_seq, CAST(0 AS BIGINT) AS start_us, CAST(0 AS BIGINT) AS last_us,
+    CAST([] AS VARCHAR[]) AS alive, CAST([] AS VARCHAR[]) AS seen,
+    CAST(NULL AS STRUCT(o BIGINT, s BIGINT, e BIGINT, g VARCHAR[], r VARCHAR)) AS quiet,
+    CAST(NULL AS STRUCT(o BIGINT, s BIGINT, e BIGINT, g VARCHAR[], r VARCHAR)) AS ended FROM hostile
+  UNION ALL
+  SELECT log_id, rn, CASE WHEN over_reason IS NULL THEN o2 END, s2, CASE WHEN hit OR felled THEN us ELSE last_us END,
+    CASE WHEN over_reason IS NULL THEN a2 ELSE [] END, CASE WHEN over_reason IS NULL THEN g2 ELSE [] END, quiet,
+    CASE WHEN over_reason IS NOT NULL THEN {'o': o2, 's': s2, 'e': us, 'g': g2, 'r': over_reason} END
+  FROM (SELECT *, CASE WHEN felled AND len(a2) = 0 THEN 'all_dead' WHEN is_player AND NOT felled AND o2 IS NOT NULL THEN 'player_death' END AS over_reason
+    FROM (SELECT *, NOT death AS hit, CASE WHEN NOT death AND o1 IS NULL THEN seq ELSE o1 END AS o2,
+        CASE WHEN NOT death AND o1 IS NULL THEN us ELSE start_us END AS s2,
+        death AND list_contains(a1, guid) AS felled,
+        CASE WHEN death THEN list_filter(a1, lambda x: x <> guid) WHEN list_contains(a1, guid) THEN a1 ELSE list_append(a1, guid) END AS a2,
+        CASE WHEN death OR list_contains(g1, guid) THEN g1 ELSE list_append(g1, guid) END AS g2
+      FROM (SELECT h.log_id, h.rn, h.seq, h.us, h.guid, h.death, h.is_player, f.start_us, f.last_us,
+          CASE WHEN h.us - f.last_us > 8000000 THEN NULL ELSE f.open_seq END AS o1,
+          CASE WHEN h.us - f.last_us > 8000000 THEN [] ELSE f.alive END AS a1,
+          CASE WHEN h.us - f.last_us > 8000000 THEN [] ELSE f.seen END AS g1,
+          CASE WHEN h.us - f.last_us > 8000000 AND f.open_seq IS NOT NULL
+            THEN {'o': f.open_seq, 's': f.start_us, 'e': f.last_us, 'g': f.seen, 'r': 'timeout'} END AS quiet
+        FROM fight_steps f JOIN hostile h ON h.log_id = f.log_id AND h.rn = f.rn + 1))))""",
+    "fought": """
+fought AS (SELECT log_id, c.o AS open_seq, c.s AS start_us, c.e AS end_us, list_sort(c.g) AS guids, c.r AS reason,
+  row_number() OVER (PARTITION BY log_id ORDER BY c.o) AS combat_id, count(*) OVER (PARTITION BY log_id) AS n FROM (
+    SELECT log_id, quiet AS c FROM fight_steps WHERE quiet IS NOT NULL
+    UNION ALL SELECT log_id, ended FROM fight_steps WHERE ended IS NOT NULL
+    UNION ALL SELECT log_id, {'o': open_seq, 's': start_us, 'e': last_us, 'g': seen, 'r': 'timeout'} FROM (
+      SELECT *, max(rn) OVER (PARTITION BY log_id) AS final FROM fight_steps ) WHERE rn = final AND open_seq IS NOT NULL))""",
+    "zoned": """
+zoned AS (SELECT f.*, coalesce(z.zone_id, 0) AS zone_id, coalesce(z.zone_name, '') AS zone_name FROM fought f ASOF LEFT JOIN (
+  SELECT log_id, seq, user_id % 4 AS zone_id, 'Zone' || (user_id % 4) AS zone_name FROM lines
+  WHERE event_type = 'error' AND k % 10 = 0 AND k % 20 <> 0) z ON f.log_id = z.log_id AND f.open_seq >= z.seq)""",
 }
 
 
@@ -233,7 +286,8 @@ def _sql(body: str) -> str:
             used.append(name)
             text += _CTES[name]
     ctes = ",".join(_CTES[n] for n in reversed(used))
-    return f"WITH {ctes}\n{body}" if used else body
+    recursive = "RECURSIVE " if "fight_steps" in used else ""
+    return f"WITH {recursive}{ctes}\n{body}" if used else body
 
 
 def _rate(n: str, d: str) -> str:
@@ -653,7 +707,19 @@ FROM (SELECT log_id, guid, arg_min(name, place) AS name, arg_min(role, place) AS
         "",
     ),
 }
-_BODIES["totals_view"] = _BODIES["target_totals"] = (
+_BODIES["detect_encounters"] = (
+    """SELECT log_id, combat_id, open_seq, start_us AS start_ts, end_us AS end_ts, array_to_string(guids, ',') AS enemy_guids,
+  zone_id, zone_name, CASE WHEN reason = 'timeout' AND combat_id = n THEN 'end_of_log' ELSE reason END AS close_reason FROM zoned """,
+    "",
+)
+_BODIES["stamped_events"] = (
+    """SELECT p.log_id, seq, coalesce(z.combat_id, 0) AS combat_id, us AS ts, event, source, target, spell_name, amount,
+  effective_amount, type, coalesce(z.zone_id, 0) AS zone_id, coalesce(z.zone_name, '') AS zone_name, spell_id
+FROM parsed p LEFT JOIN (SELECT *, lead(start_us) OVER (PARTITION BY log_id ORDER BY combat_id) AS next_us FROM zoned ) z
+  ON z.log_id = p.log_id AND p.us BETWEEN z.start_us AND z.end_us AND (z.next_us IS NULL OR p.us < z.next_us)""",
+    "",
+)
+_BODIES["target_totals"] = (
     f"""SELECT target, encounters, total_time_s, total_damage, total_heal, {_rate('total_damage', 'total_time_s')} AS dps,
   {_rate('total_heal', 'total_time_s')} AS hps
 FROM (SELECT target, count(*) AS encounters, CAST(sum(span) AS BIGINT) / 1e6 AS total_time_s,
@@ -687,6 +753,18 @@ for _policy, _choice in {
     )
 
 
+for _name in ("encounter_stats", "overall_stats"):
+    _body, _round = _BODIES[_name]
+    _BODIES[f"orders_{_name}"] = (_body.replace("FROM enc ", "FROM oenc "), _round)
+for _name in ("target_totals", "character_counts"):
+    _body, _round = _BODIES[_name]
+    _BODIES[f"orders_{_name}"] = (_body.replace("FROM ev ", "FROM oev "), _round)
+_BODIES["orders_spells"] = (
+    _spells("type IN ('damage', 'heal', 'absorb')", kind=True, source="oev"),
+    "avg pct",
+)
+
+
 def _finish(body: str, rounded: str) -> str:
     if not rounded:
         return _sql(body)

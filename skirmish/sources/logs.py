@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skirmish.session import cut
+
 EPOCH = "1970-01-01 00:00:00"
 
 
@@ -30,24 +32,35 @@ def with_file_columns(lines: DataFrame) -> DataFrame:
     )
 
 
+# One row per file split: a million of them stand for over 100 TB of text in
+# splits of 128 MB, and take a few hundred MB when broadcast.
+MAX_BROADCAST_SPLITS = 1_000_000
+
+
 def number_lines(lines: DataFrame, log_id: str | None = None) -> DataFrame:
     """seq = 0, 1, 2, ... per log: files by the time in their name, lines as they stand.
 
-    Lines keep their order within a file split, so each is numbered from the
-    count of lines in the splits before it. Only one row per split is sorted;
-    the lines are never shuffled by log.
+    The text is read once and kept as a table. Lines keep their order within a
+    file split, so each is numbered from the count of lines in the splits
+    before it. Only one row per split is sorted, and the lines are not
+    shuffled: the split rows are broadcast while they are few enough, beyond
+    that the join is left to the planner.
     """
     if log_id is not None:
         lines = lines.withColumn("log_id", F.lit(log_id))
-    rows = lines.withColumn("_row", F.monotonically_increasing_id())
+    rows = cut(lines.withColumn("_row", F.monotonically_increasing_id()))
     splits = rows.groupBy("log_id", "_file", "_split").agg(
         F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines")
     )
     order = Window.partitionBy("log_id").orderBy(file_log_ts("_file"), "_file", "_split")
     before = F.sum("_lines").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select(
-        "log_id", "_file", "_split", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")
+    splits = cut(
+        splits.select(
+            "log_id", "_file", "_split", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")
+        )
     )
+    if splits.count() <= MAX_BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     return rows.join(splits, ["log_id", "_file", "_split"]).select(
         "log_id", (F.col("_row") + F.col("_shift")).cast("bigint").alias("seq"), "value"
     )

@@ -42,6 +42,9 @@ from skirmish.sources.tables import path_exists
 ZONE = "Z"
 # Line numbers of a batch start here; no batch has 2**40 lines.
 _BATCH_BITS = 40
+# Wall-clock seconds without lines after which an open encounter closes; longer
+# than the uploader takes between two chunks.
+IDLE_S = 60.0
 
 _ENCOUNTERS = (
     "log_id string, combat_id bigint, open_seq bigint, start_us bigint, end_us bigint, "
@@ -106,10 +109,10 @@ def _signals(lines: DataFrame) -> DataFrame:
         "zone_id",
         "zone_name",
     )
-    return hostile.unionByName(zones).withColumn("ts", F.timestamp_micros("us"))
+    return hostile.unionByName(zones)
 
 
-def _follow(timeout_us: int):
+def _follow(timeout_us: int, idle_ms: int | None):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             alive, seen, dead, open_seq, start, last, zid, zname, in_zid, in_zname, closed = state.get
@@ -149,9 +152,8 @@ def _follow(timeout_us: int):
                 fight.last, zid, zname, in_zid, in_zname, closed,
             )
         )
-        if fight.open_seq is not None:
-            due_ms = (fight.last + timeout_us) // 1000 + 1
-            state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
+        if fight.open_seq is not None and idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         columns = [f.split()[0] for f in _ENCOUNTERS.split(", ")]
         yield pd.DataFrame(done, columns=columns)
 
@@ -159,18 +161,25 @@ def _follow(timeout_us: int):
 
 
 def stream_encounters(
-    lines: DataFrame, timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S
+    lines: DataFrame,
+    timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S,
+    idle_s: float | None = IDLE_S,
 ) -> DataFrame:
     """Closed encounters of a stream of numbered lines, by the rules of the batch form.
 
-    An encounter that goes quiet closes with the next line of its log, or once
-    the watermark has passed the timeout. Ids count the closed encounters of a
-    log. Rows older than the watermark are dropped.
+    An encounter that goes quiet closes with the next line of its log that
+    tells, or once nothing has come of its log for ``idle_s`` by the wall
+    clock (never if None: a run that ends with the data at hand must not wait
+    for the clock). Ids count the closed encounters of a log. There is no watermark: one
+    late log would lose its rows to the clock of the others.
     """
     timeout_us = int(round(timeout_s * 1_000_000))
-    rows = _signals(lines).withWatermark("ts", f"{timeout_us} microseconds")
-    closed = rows.groupBy("log_id").applyInPandasWithState(
-        _follow(timeout_us), _ENCOUNTERS, _FIGHT_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    closed = _signals(lines).groupBy("log_id").applyInPandasWithState(
+        _follow(timeout_us, None if idle_s is None else int(idle_s * 1000)),
+        _ENCOUNTERS,
+        _FIGHT_STATE,
+        "append",
+        GroupStateTimeout.NoTimeout if idle_s is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
     return closed.withColumns(
         {"start_ts": F.timestamp_micros("start_us"), "end_ts": F.timestamp_micros("end_us")}
@@ -276,11 +285,12 @@ def follow_encounters(
     out: str,
     checkpoint: str,
     timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S,
+    idle_s: float = IDLE_S,
     burn_empty_ids: bool = False,
     once: bool = True,
 ) -> StreamingQuery:
     """Append each closed encounter of the landed lines, and its events."""
-    closed = stream_encounters(landed_stream(spark, out), timeout_s)
+    closed = stream_encounters(landed_stream(spark, out), timeout_s, None if once else idle_s)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         flush_encounters(spark, batch, out, str(batch_id), burn_empty_ids)
