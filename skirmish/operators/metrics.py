@@ -183,29 +183,55 @@ def source_options(
     )
 
 
-def combat_headline(events: DataFrame) -> DataFrame:
-    """Totals, raw damage, rates, overkill share and time to the first kill."""
+def combat_cells(events: DataFrame, by: list[str] = COMBAT) -> DataFrame:
+    """One row per (combat, source, target), with the combat's usual source as player.
+
+    What needs the player of a combat next to its sums is built on this, so the
+    events are read and shuffled once and only these few rows again.
+    """
     died = (F.col("event") == "UNIT_DIED") & has_text("target")
-    sums = events.groupBy(*COMBAT).agg(
-        F.min("ts").alias("start_ts"),
-        span_us(F.min("ts"), F.max("ts")).alias("span_us"),
-        damage_total().alias("total_damage"),
+    cells = events.groupBy(*by, "source", "target").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(is_damage(), 1)).alias("hits"),
+        damage_total().alias("damage"),
         sum_where(is_damage(), "amount").alias("raw_damage"),
-        sum_where(F.col("type") == "heal").alias("total_heal"),
-        sum_where(F.col("type") == "absorb").alias("total_absorb"),
-        usual_source().alias("player"),
+        sum_where(F.col("type") == "heal").alias("heal"),
+        sum_where(F.col("type") == "absorb").alias("absorb"),
+        F.min("ts").alias("start_ts"),
+        F.max("ts").alias("end_ts"),
+        F.min("seq").alias("first_seq"),
+        F.min(F.struct("ts", "seq")).alias("first_time"),
+        F.min(F.when(died, F.col("ts"))).alias("died_ts"),
     )
-    # First death per target: the player's own is left out once the player is known.
-    deaths = events.filter(died).groupBy(*COMBAT, "target").agg(F.min("ts").alias("died_ts"))
-    kill = (
-        deaths.join(sums.select(*COMBAT, "player"), COMBAT)
-        .filter(F.col("player").isNull() | (F.col("target") != F.col("player")))
-        .groupBy(*COMBAT)
-        .agg(F.min("died_ts").alias("first_kill_ts"))
+    uses = F.sum("n").over(Window.partitionBy(*by, "source"))
+    candidate = F.when(has_text("source"), F.struct((-F.col("_uses")).alias("u"), "source"))
+    return (
+        cells.repartition(*by)  # serves both windows and the sums per combat after them
+        .withColumn("_uses", uses)
+        .withColumn("player", F.min(candidate).over(Window.partitionBy(*by))["source"])
+        .drop("_uses")
+    )
+
+
+def _other_than_player() -> Column:
+    return F.col("player").isNull() | (F.col("target") != F.col("player"))
+
+
+def combat_headline(events: DataFrame) -> DataFrame:
+    """Totals, raw damage, rates, overkill share and time to the first kill."""
+    sums = combat_cells(events).groupBy(*COMBAT).agg(
+        F.first("player").alias("player"),
+        F.min("start_ts").alias("start_ts"),
+        span_us(F.min("start_ts"), F.max("end_ts")).alias("span_us"),
+        F.sum("damage").alias("total_damage"),
+        F.sum("raw_damage").alias("raw_damage"),
+        F.sum("heal").alias("total_heal"),
+        F.sum("absorb").alias("total_absorb"),
+        F.min(F.when(_other_than_player(), F.col("died_ts"))).alias("first_kill_ts"),
     )
     duration = seconds("span_us")
     healing = F.col("total_heal") + F.col("total_absorb")
-    return sums.join(kill, COMBAT, "left").select(
+    return sums.select(
         *COMBAT,
         "player",
         "total_damage",
@@ -238,11 +264,10 @@ def combat_players(events: DataFrame) -> DataFrame:
 def damage_by_target(events: DataFrame, top: int | None = None) -> DataFrame:
     """Damage each target took in each combat and its share, the player left out."""
     hit = (
-        events.filter(is_damage() & has_text("target"))
+        combat_cells(events)
+        .filter((F.col("hits") > 0) & has_text("target") & _other_than_player())
         .groupBy(*COMBAT, "target")
-        .agg(F.sum("effective_amount").alias("damage"))
-        .join(combat_players(events), COMBAT)
-        .filter(F.col("player").isNull() | (F.col("target") != F.col("player")))
+        .agg(F.sum("damage").alias("damage"))
     )
     whole = F.sum("damage").over(Window.partitionBy(*COMBAT))
     shares = hit.select(
@@ -268,21 +293,21 @@ def main_target(events: DataFrame, policy: str = "hits") -> DataFrame:
     seen longest; else the first target by time.
     """
     facts = (
-        events.filter(has_text("target"))
+        combat_cells(events)
+        .filter(has_text("target"))
         .groupBy(*COMBAT, "target")
         .agg(
-            F.count(F.when(is_damage(), 1)).alias("hits"),
-            damage_total().alias("damage"),
-            span_us(F.min("ts"), F.max("ts")).alias("span_us"),
-            F.min("seq").alias("first_seq"),
-            F.min(F.struct("ts", "seq")).alias("first_time"),
+            F.first("player").alias("player"),
+            F.sum("hits").alias("hits"),
+            F.sum("damage").alias("damage"),
+            span_us(F.min("start_ts"), F.max("end_ts")).alias("span_us"),
+            F.min("first_seq").alias("first_seq"),
+            F.min("first_time").alias("first_time"),
         )
     )
     if policy == "hits":
-        facts = facts.join(usual_source_per_log(events), "log_id", "left")
-    else:
-        facts = facts.join(combat_players(events), COMBAT)
-    other = F.col("player").isNull() | (F.col("target") != F.col("player"))
+        facts = facts.drop("player").join(usual_source_per_log(events), "log_id", "left")
+    other = _other_than_player()
 
     def best(condition: Column, measure: str) -> Column:
         key = F.struct((-F.col(measure)).alias("m"), F.col("target").alias("t"))
@@ -363,43 +388,41 @@ def session_banner(events: DataFrame, day: str | None = None) -> DataFrame:
     if day is not None:
         rows = rows.filter(F.col("day") == F.lit(day).cast("date"))
     keys = ["day", *COMBAT]
-    combats = rows.groupBy(*keys).agg(
-        span_us(F.min("ts"), F.max("ts")).alias("span_us"),
-        F.sum(F.when(is_damage(), F.col("effective_amount"))).alias("damage"),
-        usual_source().alias("player"),
+    per_target = combat_cells(rows, keys).groupBy(*keys, "target").agg(
+        F.first("player").alias("player"),
+        F.sum("hits").alias("hits"),
+        F.sum("damage").alias("damage"),
+        F.min("start_ts").alias("start_ts"),
+        F.max("end_ts").alias("end_ts"),
+    )
+    on_target = F.when(
+        (F.col("hits") > 0) & has_text("target") & _other_than_player(),
+        F.struct((-F.col("damage")).alias("d"), "target"),
+    )
+    combats = per_target.groupBy(*keys).agg(
+        span_us(F.min("start_ts"), F.max("end_ts")).alias("span_us"),
+        F.sum("hits").alias("hits"),
+        F.sum("damage").alias("damage"),
+        F.min(on_target)["target"].alias("target"),
     )
     dps = F.col("damage") / F.greatest(seconds("span_us"), F.lit(1.0))
+    # Largest DPS first, then the smallest id; combats without damage do not count.
+    candidate = F.struct((-dps).alias("neg_dps"), "combat_id", "log_id", "target")
     days = combats.groupBy("day").agg(
         F.count(F.lit(1)).alias("encounters"),
         seconds(F.sum("span_us")).alias("played_s"),
-        F.min(
-            F.when(
-                F.col("damage").isNotNull(),
-                F.struct((-dps).alias("neg_dps"), *[F.col(c) for c in reversed(COMBAT)], "player"),
-            )
-        ).alias("best"),
-    )
-    best = days.select("day", *[F.col(f"best.{c}") for c in COMBAT], F.col("best.player").alias("player"))
-    hit = (
-        rows.filter(is_damage() & has_text("target"))
-        .groupBy(*keys, "target")
-        .agg(F.sum("effective_amount").alias("damage"))
-    )
-    on = (
-        hit.join(best, keys)
-        .filter(F.col("player").isNull() | (F.col("target") != F.col("player")))
-        .groupBy("day")
-        .agg(F.min(F.struct((-F.col("damage")).alias("n"), "target"))["target"].alias("target"))
+        F.min(F.when(F.col("hits") > 0, candidate)).alias("best"),
     )
-    return days.join(on, "day", "left").select(
+    best_dps = F.coalesce(-F.col("best.neg_dps"), F.lit(0.0))
+    return days.select(
         "day",
         "encounters",
         "played_s",
         played_label("played_s").alias("played"),
         F.col("best.combat_id").alias("best_combat_id"),
-        F.coalesce(-F.col("best.neg_dps"), F.lit(0.0)).alias("best_dps"),
-        compact_amount(F.coalesce(-F.col("best.neg_dps"), F.lit(0.0))).alias("best_dps_label"),
-        F.coalesce(short_name("target"), F.lit("")).alias("best_target"),
+        best_dps.alias("best_dps"),
+        compact_amount(best_dps).alias("best_dps_label"),
+        F.coalesce(short_name("best.target"), F.lit("")).alias("best_target"),
     )
 
 
