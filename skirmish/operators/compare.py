@@ -24,6 +24,7 @@ from skirmish.operators.metrics import combat_players, in_combat
 from skirmish.operators.runs import RUN
 from skirmish.operators.spells import spell_ranks, rotation_timeline
 from skirmish.schemas import COMBAT
+from skirmish.session import cut
 
 
 def fingerprints(
@@ -77,8 +78,13 @@ def pair_exact(prints: DataFrame, characters: list[str]) -> DataFrame:
     """Groups of encounters, one of each character, with equal target sets.
 
     The i-th encounter of a character with some target set pairs with the i-th
-    of every other one.
+    of every other one. The fingerprints are kept as a table, for they are read
+    several times and small: last_n rows per character.
     """
+    return _pair_exact(cut(prints), characters)
+
+
+def _pair_exact(prints: DataFrame, characters: list[str]) -> DataFrame:
     order = Window.partitionBy("character", "targets").orderBy("combat_id", "log_id")
     nth = prints.filter(F.col("character").isin(*characters) & (F.size("targets") > 0)).withColumn(
         "nth", F.row_number().over(order)
@@ -141,8 +147,9 @@ def pair_encounters(prints: DataFrame, characters: list[str], threshold: float =
     Candidates meet over a shared target. Fingerprints hold at most last_n
     encounters per character, so the greedy choice sees a bounded table.
     """
+    prints = cut(prints)
     if threshold >= 1.0:
-        return pair_exact(prints, characters)
+        return _pair_exact(prints, characters)
     ref_name = _reference(prints, characters).scalar()
     prints = prints.filter(F.col("character").isin(*characters) & (F.size("targets") > 0))
     tagged = prints.withColumn("size", F.size("targets"))

@@ -135,17 +135,23 @@ def usual_source_per_log(events: DataFrame) -> DataFrame:
 def top_targets(events: DataFrame, n: int = 10) -> DataFrame:
     """Targets that took most damage, with their DPS over single encounters."""
     fights = in_combat(events)
-    spans = fights.groupBy(*COMBAT).agg(span_us(F.min("ts"), F.max("ts")).alias("span_us"))
-    hit = (
-        fights.filter(is_damage() & has_text("target"))
-        .groupBy(*COMBAT, "target")
-        .agg(F.sum("effective_amount").alias("damage"))
+    per_target = (
+        fights.groupBy(*COMBAT, "target")
+        .agg(
+            F.min("ts").alias("start_ts"),
+            F.max("ts").alias("end_ts"),
+            F.count(F.when(is_damage(), 1)).alias("hits"),
+            damage_total().alias("damage"),
+        )
     )
+    # The span of the whole combat, next to what each target took in it.
+    combat = Window.partitionBy(*COMBAT)
+    span = span_us(F.min("start_ts").over(combat), F.max("end_ts").over(combat))
     hit = (
-        hit.join(usual_source_per_log(fights), "log_id", "left")
-        .filter(F.col("player").isNull() | (F.col("target") != F.col("player")))
-        .join(spans, COMBAT)
-        .withColumn("enc_dps", ratio("damage", seconds("span_us")))
+        per_target.withColumn("enc_dps", ratio("damage", seconds(span)))
+        .filter((F.col("hits") > 0) & has_text("target"))
+        .join(usual_source_per_log(fights), "log_id", "left")
+        .filter(_other_than_player())
     )
     ranked = hit.groupBy("target").agg(
         F.sum("damage").alias("total_damage"),
@@ -292,6 +298,16 @@ def main_target(events: DataFrame, policy: str = "hits") -> DataFrame:
     header: most damage events, player of the combat left out; else the one
     seen longest; else the first target by time.
     """
+    if policy == "hits":
+        facts = (
+            events.filter(is_damage() & has_text("target"))
+            .groupBy(*COMBAT, "target")
+            .agg(F.count(F.lit(1)).alias("hits"))
+            .join(usual_source_per_log(events), "log_id", "left")
+            .filter(_other_than_player())
+        )
+        top = F.min(F.struct((-F.col("hits")).alias("h"), F.col("target").alias("t")))["t"]
+        return facts.groupBy(*COMBAT).agg(top.alias("main_target"))
     facts = (
         combat_cells(events)
         .filter(has_text("target"))
@@ -305,8 +321,6 @@ def main_target(events: DataFrame, policy: str = "hits") -> DataFrame:
             F.min("first_time").alias("first_time"),
         )
     )
-    if policy == "hits":
-        facts = facts.drop("player").join(usual_source_per_log(events), "log_id", "left")
     other = _other_than_player()
 
     def best(condition: Column, measure: str) -> Column:
@@ -317,7 +331,6 @@ def main_target(events: DataFrame, policy: str = "hits") -> DataFrame:
     most_damage = best(other & (F.col("hits") > 0), "damage")
     longest = best(other & (F.col("span_us") > 0), "span_us")
     choice = {
-        "hits": most_hits,
         "damage": F.coalesce(most_damage, F.min_by("target", "first_seq"), longest),
         "header": F.coalesce(most_hits, longest, F.min_by("target", "first_time")),
     }[policy]
