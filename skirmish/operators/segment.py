@@ -16,14 +16,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish import fixed, schemas
 from skirmish.functions.scalars import has_text
 from skirmish.operators.machine import DEATH, HITS, QUIET, Fight
 from skirmish.operators.parse import has_flags, is_enemy, is_friendly
-from skirmish.operators.scans import running, seq_block
+from skirmish.operators.scans import running, seq_block, sessions
 from skirmish.session import cut
 
 _PART_SCHEMA = (
@@ -63,19 +63,22 @@ def _counted(rows: DataFrame) -> DataFrame:
     )
 
 
-def _condense(rows: DataFrame, slot: Column) -> DataFrame:
-    """Activity rows: hits merged per death interval and slot, and the deaths that matter."""
-    rows = rows.withColumn("slot", slot)
+def _condense(rows: DataFrame) -> DataFrame:
+    """Activity rows: hits merged per death interval, lap and slot, and the deaths that matter.
+
+    Within a lap the clock does not run backwards, so hits in one slot lie less
+    than a timeout apart.
+    """
     deaths = rows.filter(F.col("kind") == DEATH)
     first_death = deaths.groupBy("log_id", "guid").agg(F.min("deaths").alias("died_at"))
     hits = (
         rows.filter(F.col("kind") == HITS)
-        .groupBy("log_id", "deaths", "slot", "guid")
+        .groupBy("log_id", "deaths", "lap", "slot", "guid")
         .agg(F.min(F.struct("seq", "us")).alias("head"), F.max(F.struct("seq", "us")).alias("tail"))
         .join(first_death, ["log_id", "guid"], "left")
         .filter(F.col("died_at").isNull() | (F.col("deaths") <= F.col("died_at")))
     )
-    merged = hits.groupBy("log_id", "deaths", "slot").agg(
+    merged = hits.groupBy("log_id", "deaths", "lap", "slot").agg(
         F.min("head").alias("head"), F.max("tail").alias("tail"), F.collect_set("guid").alias("guids")
     )
     met = hits.select("log_id", "guid").distinct().withColumn("met", F.lit(True))
@@ -86,6 +89,7 @@ def _condense(rows: DataFrame, slot: Column) -> DataFrame:
     )
     return merged.select(
         "log_id",
+        "lap",
         "slot",
         F.col("head.seq").alias("seq"),
         F.lit(HITS).alias("kind"),
@@ -96,6 +100,7 @@ def _condense(rows: DataFrame, slot: Column) -> DataFrame:
     ).unionByName(
         deaths.select(
             "log_id",
+            "lap",
             "slot",
             "seq",
             "kind",
@@ -110,18 +115,20 @@ def _condense(rows: DataFrame, slot: Column) -> DataFrame:
 def _islands(activity: DataFrame) -> DataFrame:
     """Number the stretches of neighbouring slots.
 
-    An empty slot between two rows means more than a whole timeout without
-    activity, so no encounter spans it. Slots are counted once per log, so
-    their number grows with the time a log covers, not with its lines.
+    A slot that lies beyond an empty one after all earlier slots comes more
+    than a whole timeout after any activity before it, so no encounter spans
+    that gap; after the clock ran backwards nothing is cut until it has caught
+    up. Slots are counted once per log, so their number grows with the time a
+    log covers, not with its lines.
     """
-    slots = activity.select("log_id", "slot").distinct()
-    order = Window.partitionBy("log_id").orderBy("slot")
-    gap = F.col("slot") - F.lag("slot", 1).over(order)
-    slots = slots.withColumn("_fresh", F.when(gap > 1, 1).otherwise(0))
+    slots = activity.select("log_id", "lap", "slot").distinct()
+    order = Window.partitionBy("log_id").orderBy("lap", "slot")
+    latest = F.max("slot").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    slots = slots.withColumn("_fresh", F.when(F.col("slot") - latest > 1, 1).otherwise(0))
     slots = slots.withColumn(
         "island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
     ).drop("_fresh")
-    return activity.join(slots, ["log_id", "slot"])
+    return activity.join(slots, ["log_id", "lap", "slot"])
 
 
 def _run_parts(timeout_us: int):
@@ -154,26 +161,24 @@ def _frame(done: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns)
 
 
-def encounter_intervals(hostile: DataFrame, timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S) -> DataFrame:
-    """Encounters without ids and zones, from ``hostile_rows``.
+def _with_laps(counted: DataFrame) -> DataFrame:
+    """Add lap: how often the log's clock has run backwards before a row."""
+    if counted.filter(F.col("us") < F.col("prev_us")).isEmpty():
+        return counted.withColumn("lap", F.lit(1).cast("bigint"))
+    return cut(
+        sessions(
+            counted, ["log_id"], seq_block(), ["seq"], ["us"], lambda prev, now: now["us"] < prev["us"], "lap"
+        )
+    )
 
-    Logs whose clock never runs backwards over these rows are condensed and
-    split at quiet gaps. Any other log goes through the same machine in line
-    order, uncondensed and in one part.
-    """
+
+def encounter_intervals(hostile: DataFrame, timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S) -> DataFrame:
+    """Encounters without ids and zones, from ``hostile_rows``."""
     timeout_us = int(round(timeout_s * 1_000_000))
     # Parsed once: what follows reads these narrow rows, not the log text.
-    counted = cut(_counted(cut(hostile)))
-    backwards = counted.filter(F.col("us") < F.col("prev_us")).select("log_id").distinct()
+    counted = _with_laps(cut(_counted(cut(hostile))))
     slot = F.floor(F.col("us") / F.lit(timeout_us)).cast("bigint")
-    if backwards.isEmpty():
-        activity = _islands(_condense(counted, slot))
-    else:
-        steady = counted.join(backwards, "log_id", "left_anti")
-        unsteady = counted.join(backwards, "log_id", "left_semi")
-        activity = _islands(_condense(steady, slot)).unionByName(
-            _condense(unsteady, F.col("seq")).withColumn("island", F.lit(-1).cast("bigint"))
-        )
+    activity = _islands(_condense(counted.withColumn("slot", slot)))
     parts = activity.repartition("log_id", "island").sortWithinPartitions("log_id", "island", "seq")
     wanted = ["log_id", "island", "seq", "kind", "first_us", "last_us", "guids", "is_player"]
     return parts.select(*wanted).mapInPandas(_run_parts(timeout_us), _PART_SCHEMA).select(

@@ -48,6 +48,11 @@ def found(spark, texts, timeout_s=8.0):
             [(1, 0, 0, ["Creature-9"], "", "timeout"), (2, 20, 20, ["Creature-1"], "", "timeout"),
              (3, 30, 30, ["Creature-1"], "", "end_of_log")],
         ),
+        # The clock runs back; an old death leads the new lap and cuts nothing.
+        (
+            [spell_hit(0, ME, mob(9)), spell_hit(100, ME, mob(1)), died(50, mob(9)), spell_hit(70, ME, mob(1))],
+            [(1, 0, 0, ["Creature-9"], "", "timeout"), (2, 100, 70, ["Creature-1"], "", "end_of_log")],
+        ),
         # Friends hitting friends and the dead hitting nobody open nothing.
         ([swing(0, ME, ME), died(1, mob(1)), spell_hit(2, ME, mob(1))], []),
     ],
