@@ -275,6 +275,23 @@ fought AS (SELECT log_id, c.o AS open_seq, c.s AS start_us, c.e AS end_us, list_
 zoned AS (SELECT f.*, coalesce(z.zone_id, 0) AS zone_id, coalesce(z.zone_name, '') AS zone_name FROM fought f ASOF LEFT JOIN (
   SELECT log_id, seq, user_id % 4 AS zone_id, 'Zone' || (user_id % 4) AS zone_name FROM lines
   WHERE event_type = 'error' AND k % 10 = 0 AND k % 20 <> 0) z ON f.log_id = z.log_id AND f.open_seq >= z.seq)""",
+    "refs": """
+refs AS (SELECT *, row_number() OVER (ORDER BY combat_id) AS i FROM prints
+  WHERE targets <> '' AND character = (SELECT character FROM prints
+    WHERE character IN ('P0-Realm-EU', 'P2-Realm-EU') GROUP BY character ORDER BY count(*), character LIMIT 1))""",
+    "alike": """
+alike AS (SELECT r.i, r.combat_id AS ref_id, r.character AS ref_character, o.character, o.combat_id, r.targets,
+    len(list_intersect(string_split(r.targets, ','), string_split(o.targets, ',')))
+      / len(list_distinct(list_concat(string_split(r.targets, ','), string_split(o.targets, ',')))) AS similarity
+  FROM refs r JOIN prints o ON o.character IN ('P0-Realm-EU', 'P2-Realm-EU') AND o.character <> r.character AND o.targets <> '')""",
+    "pair_steps": """
+pair_steps AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS picked
+  UNION ALL
+  SELECT i, CASE WHEN similarity >= 0.5 THEN list_append(used, best) ELSE used END, CASE WHEN similarity >= 0.5 THEN best END
+  FROM (SELECT s.i + 1 AS i, any_value(s.used) AS used,
+      first(a.combat_id ORDER BY a.similarity DESC, a.combat_id) AS best, max(a.similarity) AS similarity
+    FROM pair_steps s LEFT JOIN alike a ON a.i = s.i + 1 AND NOT list_contains(s.used, a.combat_id)
+    WHERE s.i < (SELECT max(i) FROM refs ) GROUP BY s.i))""",
 }
 
 
@@ -286,7 +303,7 @@ def _sql(body: str) -> str:
             used.append(name)
             text += _CTES[name]
     ctes = ",".join(_CTES[n] for n in reversed(used))
-    recursive = "RECURSIVE " if "fight_steps" in used else ""
+    recursive = "RECURSIVE " if {"fight_steps", "pair_steps"} & set(used) else ""
     return f"WITH {recursive}{ctes}\n{body}" if used else body
 
 
@@ -707,6 +724,16 @@ FROM (SELECT log_id, guid, arg_min(name, place) AS name, arg_min(role, place) AS
         "",
     ),
 }
+_LABEL = (
+    "array_to_string(list_slice(string_split(targets, ','), 1, 4), ', ') || CASE WHEN len(string_split(targets, ',')) > 4 "
+    "THEN ' +' || (len(string_split(targets, ',')) - 4) ELSE '' END AS label"
+)
+_BODIES["pair_alike"] = (
+    f"""SELECT 'main' AS ref_log_id, ref_id AS ref_combat_id, character, 'main' AS log_id, combat_id, {_LABEL} FROM (
+  SELECT ref_id, character, combat_id, targets FROM pair_steps s JOIN alike a ON a.i = s.i AND a.combat_id = s.picked
+  UNION ALL SELECT r.combat_id, r.character, r.combat_id, r.targets FROM pair_steps s JOIN refs r ON r.i = s.i WHERE picked IS NOT NULL)""",
+    "",
+)
 _BODIES["detect_encounters"] = (
     """SELECT log_id, combat_id, open_seq, start_us AS start_ts, end_us AS end_ts, array_to_string(guids, ',') AS enemy_guids,
   zone_id, zone_name, CASE WHEN reason = 'timeout' AND combat_id = n THEN 'end_of_log' ELSE reason END AS close_reason FROM zoned """,

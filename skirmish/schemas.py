@@ -44,6 +44,9 @@ RAW_LINES = T.StructType(
     ]
 )
 
+# Lines of a followed log; batch is the folder of the micro-batch.
+LANDED_LINES = T.StructType([*RAW_LINES.fields, T.StructField("batch", T.LongType())])
+
 # Encounters of a followed log; batch is the folder of the micro-batch.
 LIVE_ENCOUNTERS = T.StructType(
     [

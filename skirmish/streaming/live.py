@@ -82,8 +82,10 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="3 seconds")).start()
 
 
-def landed_lines(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(schemas.RAW_LINES).parquet(f"{out}/lines")
+def landed_lines(spark: SparkSession, out: str, from_batch: int = 0) -> DataFrame:
+    """Landed lines, of the given batch on; older batches are not read."""
+    lines = spark.read.schema(schemas.LANDED_LINES).parquet(f"{out}/lines")
+    return lines.filter(F.col("batch") >= from_batch).drop("batch")
 
 
 def landed_stream(spark: SparkSession, out: str) -> DataFrame:
@@ -240,11 +242,14 @@ def flush_encounters(
     """
     window = Window.partitionBy("log_id").orderBy("open_seq")
     closed = cut(closed.withColumn("combat_id", F.row_number().over(window).cast("bigint")))
+    first_seq = closed.agg(F.min("open_seq")).first()[0]
+    if first_seq is None:
+        return
     span = closed.groupBy("log_id").agg(
         F.min("start_ts").alias("_from"), F.max("end_ts").alias("_to"), F.min("open_seq").alias("_seq")
     )
-    # One row per log with a closed encounter; only their lines are parsed.
-    lines = landed_lines(spark, out).join(span, "log_id").filter(F.col("seq") >= F.col("_seq"))
+    # Only lines of logs with a closed encounter, landed since it opened, are parsed.
+    lines = landed_lines(spark, out, first_seq >> _BATCH_BITS).join(span, "log_id").filter(F.col("seq") >= F.col("_seq"))
     events = parse_player_events(lines.select("log_id", "seq", "value")).join(span, "log_id")
     events = events.filter(F.col("ts").between(F.col("_from"), F.col("_to"))).drop("_from", "_to", "_seq")
     stamped = assign_encounter(events, closed).join(
