@@ -14,6 +14,7 @@ from skirmish.functions.scalars import (
     seconds,
     sum_where,
 )
+from skirmish.operators.scans import running, seq_block
 from skirmish.operators.spells import combat_starts, elapsed_us, first_rows
 from skirmish.schemas import COMBAT
 
@@ -102,21 +103,37 @@ def series_long(series: DataFrame) -> DataFrame:
 def encounter_trend(encounters: DataFrame) -> DataFrame:
     """DPS and HPS of each encounter with centred rolling means.
 
-    The window is a third of the log's encounters, at least 2, at most 5.
+    The window is a third of the log's encounters, at least 2, at most 5. Each
+    encounter is handed to the places it counts for, so that no task has to
+    hold a whole log in order.
     """
-    counts = encounters.groupBy("log_id").agg(
-        F.greatest(F.lit(2), F.least(F.lit(5), F.floor(F.count(F.lit(1)) / 3))).alias("_width")
+    widths = encounters.groupBy("log_id").agg(
+        F.greatest(F.lit(2), F.least(F.lit(5), F.floor(F.count(F.lit(1)) / 3))).cast("int").alias("_w")
     )
-
-    def rolled(metric: str) -> Column:
-        choice = F.lit(None).cast("double")
-        for width in (2, 3, 4, 5):
-            mean = _centred_mean(metric, width, ["log_id"], "combat_id")
-            choice = F.when(F.col("_width") == width, mean).otherwise(choice)
-        return choice
-
-    return encounters.join(counts, "log_id").select(
-        *COMBAT, "dps", "hps", rolled("dps").alias("dps_roll"), rolled("hps").alias("hps_roll")
+    placed = running(
+        encounters.select(*COMBAT, "dps", "hps"),
+        ["log_id"],
+        seq_block("combat_id"),
+        ["combat_id"],
+        {"place": ("sum", F.lit(1))},
+    )
+    first = F.col("place") - F.floor((F.col("_w") - 1) / 2)
+    last = F.col("place") + F.floor(F.col("_w") / 2)
+    handed = placed.join(widths, "log_id").select(
+        "log_id", F.col("place").alias("_own"), *COMBAT[1:], "dps", "hps",
+        F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("place"),
+    )
+    own = F.col("_own") == F.col("place")
+    rolled = handed.groupBy("log_id", "place").agg(
+        F.max(F.when(own, F.col("combat_id"))).alias("combat_id"),
+        F.max(F.when(own, F.col("dps"))).alias("dps"),
+        F.max(F.when(own, F.col("hps"))).alias("hps"),
+        F.avg("dps").alias("dps_roll"),
+        F.avg("hps").alias("hps_roll"),
+    )
+    # Places before the first and after the last encounter have none of their own.
+    return rolled.filter(F.col("combat_id").isNotNull()).select(
+        *COMBAT, "dps", "hps", "dps_roll", "hps_roll"
     )
 
 

@@ -187,3 +187,16 @@ def test_combat_delta(spark):
     )
     r = cp.combat_delta(boss, 1, 2).first()
     assert (r.delta_dps, r.delta_hps, r.delta_duration_s) == (6.0, -2.0, 10.0)
+
+
+def test_trend_matches_pandas_for_every_width(spark):
+    rng = random.Random(8)
+    rows = {n: [(f"log{n}", 2 * i + 1, rng.random(), rng.random()) for i in range(n)] for n in (1, 2, 7, 9, 13, 16)}
+    df = spark.createDataFrame(sum(rows.values(), []), "log_id string, combat_id bigint, dps double, hps double")
+    got = tm.encounter_trend(df).toPandas().sort_values(["log_id", "combat_id"])
+    for n, part in rows.items():
+        want = pd.DataFrame(part, columns=["log_id", "combat_id", "dps", "hps"])
+        rolled = want[["dps", "hps"]].rolling(max(2, min(5, n // 3 or 1)), min_periods=1, center=True).mean()
+        mine = got[got.log_id == f"log{n}"]
+        assert list(mine.combat_id) == list(want.combat_id)
+        assert abs(mine[["dps_roll", "hps_roll"]].to_numpy() - rolled.to_numpy()).max() < 1e-9
