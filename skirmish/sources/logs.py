@@ -28,7 +28,6 @@ def with_file_columns(lines: DataFrame) -> DataFrame:
         F.regexp_extract(path, r"([^/]*)/[^/]*$", 1).alias("log_id"),
         path.alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"),
-        F.col("_metadata.file_modification_time").alias("_modified"),
     )
 
 
@@ -71,20 +70,23 @@ def read_raw_logs(spark: SparkSession, paths: str | list[str], log_id: str | Non
     return number_lines(with_file_columns(spark.read.text(paths)), log_id)
 
 
+def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path and modificationTime of the files; their content is not read."""
+    return spark.read.format("binaryFile").load(paths).select("path", "modificationTime")
+
+
 def latest_log_only(spark: SparkSession, paths: str | list[str], log_id: str | None = None) -> DataFrame:
-    """Lines of the most recently modified file only."""
-    lines = with_file_columns(spark.read.text(paths))
-    files = lines.select("_file", "_modified").distinct()
-    newest = files.select(F.max_by("_file", F.struct("_modified", "_file")).alias("_file"))
-    return number_lines(lines.filter(F.col("_file") == newest.scalar()), log_id)
+    """Lines of the most recently modified file only; no other file is read."""
+    newest = _files(spark, paths).select(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+    return read_raw_logs(spark, newest, log_id)
 
 
-def source_freshness(spark: SparkSession, path: str, now=None) -> DataFrame:
-    """Seconds since any file of a text source was last written."""
+def source_freshness(spark: SparkSession, paths: str | list[str], now=None) -> DataFrame:
+    """Seconds since any file of a source was last written."""
     at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
-    files = spark.read.text(path).select(F.col("_metadata.file_modification_time").alias("m"))
-    age = F.floor((F.unix_micros(at) - F.unix_micros(F.max("m"))) / F.lit(1_000_000))
+    written = F.max("modificationTime")
+    age = F.floor((F.unix_micros(at) - F.unix_micros(written)) / F.lit(1_000_000))
     label = F.when(age < 60, F.format_string("%ds", age)).otherwise(
-        F.format_string("%dm %ds", F.floor(age / 60), age % 60)
+        F.format_string("%dm %ds", F.floor(age / 60).cast("bigint"), age % 60)
     )
-    return files.agg(age.alias("age_s"), label.alias("label"))
+    return _files(spark, paths).agg(age.alias("age_s"), label.alias("label"))
