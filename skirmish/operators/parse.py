@@ -223,6 +223,13 @@ def parse_player_events(
     )
 
 
+def unreadable_absorbs(lines: DataFrame) -> DataFrame:
+    """Per log: absorb rows that parse_player_events drops for want of a layout mark."""
+    rows = _tokens(_headers(lines, strip_line=True).filter(F.col("event") == "SPELL_ABSORBED"))
+    bad = rows.filter((F.size("parts") >= 18) & is_hex(part(2)) & (part(8) == ""))
+    return bad.groupBy("log_id").agg(F.count(F.lit(1)).alias("dropped"))
+
+
 def active_character(lines: DataFrame) -> DataFrame:
     """Per log: the first active player that acts, by line order."""
     width = F.size("parts")

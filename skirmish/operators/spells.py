@@ -64,6 +64,25 @@ def character_spells(events: DataFrame, types, top_n: int = 10) -> DataFrame:
     return spell_aggregates(in_combat(events), types, top_n, by=("source",))
 
 
+def spell_filter_options(events: DataFrame, top_n: int = fixed.DEFAULT_ABILITIES) -> DataFrame:
+    """Choices for the spell filter of time_series, in order, of every combat:
+    its best damage abilities, then its best healing abilities."""
+
+    def options(types, kind: str, side: int) -> DataFrame:
+        best = spell_aggregates(events, types, top_n, by=tuple(COMBAT))
+        return best.select(
+            *COMBAT,
+            F.lit(side).alias("side"),
+            "total",
+            "spell",
+            F.concat("spell", F.lit(f" [{kind}]")).alias("option"),
+        )
+
+    both = options("damage", "Damage", 0).unionByName(options(list(fixed.HEALING_TYPES), "Healing", 1))
+    order = Window.partitionBy(*COMBAT).orderBy("side", F.desc("total"), "spell")
+    return both.select(*COMBAT, F.row_number().over(order).alias("position"), "option")
+
+
 def most_cast(events: DataFrame, n: int = 25, of: int = 40) -> DataFrame:
     """Most used abilities among the best ``of`` by damage and by healing.
 

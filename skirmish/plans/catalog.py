@@ -154,6 +154,7 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     ),
     "character_spells_damage": lambda d: sp.character_spells(d.ev, "damage"),
     "character_spells_healing": lambda d: sp.character_spells(d.ev, HEALING),
+    "spell_filter_options": lambda d: sp.spell_filter_options(d.ev),
     "most_cast": lambda d: sp.most_cast(d.ev),
     "ability_uptime": lambda d: sp.ability_uptime(d.ev),
     "rotation_timeline": lambda d: sp.rotation_timeline(d.ev),

@@ -734,6 +734,14 @@ _BODIES["pair_alike"] = (
   UNION ALL SELECT r.combat_id, r.character, r.combat_id, r.targets FROM pair_steps s JOIN refs r ON r.i = s.i WHERE picked IS NOT NULL)""",
     "",
 )
+_BODIES["spell_filter_options"] = (
+    f"""SELECT log_id, combat_id, option, row_number() OVER (PARTITION BY log_id, combat_id ORDER BY side, total DESC, spell) AS position
+FROM (SELECT log_id, combat_id, 0 AS side, total, spell, spell || ' [Damage]' AS option
+    FROM ({_spells("type = 'damage'", 'log_id, combat_id', 7)})
+  UNION ALL SELECT log_id, combat_id, 1, total, spell, spell || ' [Healing]'
+    FROM ({_spells(_HEAL, 'log_id, combat_id', 7)}))""",
+    "",
+)
 _BODIES["detect_encounters"] = (
     """SELECT log_id, combat_id, open_seq, start_us AS start_ts, end_us AS end_ts, array_to_string(guids, ',') AS enemy_guids,
   zone_id, zone_name, CASE WHEN reason = 'timeout' AND combat_id = n THEN 'end_of_log' ELSE reason END AS close_reason FROM zoned """,

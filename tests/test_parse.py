@@ -52,6 +52,7 @@ def test_absorb_layouts(spark):
         absorb(3, MATE, 21, True),  # not mine
         line(4, "SPELL_ABSORBED", *units(mob(1), ME), "", *range(12)),  # no layout mark
     ]
+    assert ps.unreadable_absorbs(lines_df(spark, texts)).first().dropped == 1
     r = player_rows(spark, texts)
     assert sorted(r) == [0, 1]
     for row in r.values():
