@@ -32,12 +32,11 @@ def _headers(lines: DataFrame, strip_line: bool = False) -> DataFrame:
     value = F.trim(F.col("value")) if strip_line else F.col("value")
     comma = F.instr(value, ",")
     header = F.trim(F.translate(F.substring_index(value, ",", 1), "\t\r\f\v", "    "))
-    split = F.struct(
-        header.alias("header"),
-        F.substring_index(header, " ", -1).alias("event"),
-        F.substr(value, comma + 1).alias("fields"),
-    )
+    split = F.struct(header.alias("header"), F.substr(value, comma + 1).alias("fields"))
     rows = _once(lines.filter(comma > 0), split, "_line", ["log_id", "seq"])
+    event = F.substring_index("_line.header", " ", -1)
+    split = F.struct("_line.header", event.alias("event"), "_line.fields")
+    rows = _once(rows, split, "_line", ["log_id", "seq"])
     time_length = F.length("_line.header") - F.length("_line.event")
     return rows.filter(time_length > 0).select(
         "log_id",
