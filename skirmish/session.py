@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,15 @@ def pin_settings(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only a session without that setting, as in tests, gets a folder of its own.
+    A session in one JVM without that setting, as in tests, gets a folder of
+    its own. On a cluster a machine-local folder would lose rows without an
+    error, so there the setting must be given.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="skirmish-checkpoint-")
         context.setCheckpointDir(folder)
     return folder

@@ -17,7 +17,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from skirmish.session import build_session  # noqa: E402
 
-TABLES = ["events", "lineitem", "orders"]
+TABLES = [
+    "events", "lineitem", "orders",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:

@@ -5,7 +5,7 @@ import os
 import pytest
 from compare_sql import difference, duck
 
-import __spark_entry__ as entry
+from skirmish.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,10 +17,10 @@ def db():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_matches_sql(spark, db, name):
     assert difference(spark, db, name, SF) is None
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(oracle.sql_twins()) == set(catalog.queries())
