@@ -6,18 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skirmish.llm import toxicity
+from skirmish.llm import near_dedup, toxicity
 from skirmish.llm.common import table
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, class_rows of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_toxicity,)}
+    return {f.__name__: f for f in (op3_near_dedup, op9_toxicity)}
+
+
+_NEAR = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), runs AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+         i -> array_to_string(w[i:i+4], ' '))) AS g FROM d WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM runs a JOIN runs b USING (g)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE c >= 0.8 * (s.n + t.n - c)
+  UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.text = b.text AND a.doc_id <> b.doc_id
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM d
+  UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r
+), classes AS (SELECT doc_id, min(r) AS class_id FROM reach GROUP BY doc_id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows FROM classes
+"""
 
 
 def sql_twins() -> dict[str, str]:
-    return {}
+    return {"op3_near_dedup": _NEAR}
