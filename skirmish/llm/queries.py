@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skirmish.llm import near_dedup, toxicity
+from skirmish.llm import decontaminate, near_dedup, toxicity
 from skirmish.llm.common import table
 
 
@@ -15,13 +15,18 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contaminated, item_ids, changed_ids of every document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op3_near_dedup, op7_decontaminate, op9_toxicity)}
 
 
 _NEAR = r"""
@@ -30,7 +35,7 @@ WITH RECURSIVE d AS (
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), runs AS (
   SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
-         i -> array_to_string(w[i:i+4], ' '))) AS g FROM d WHERE len(w) > 0
+         lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM d WHERE len(w) > 0
 ), sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id
 ), common AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM runs a JOIN runs b USING (g)
