@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skirmish.llm import decontaminate, near_dedup, toxicity
+from skirmish.llm import decontaminate, mixing, near_dedup, toxicity
 from skirmish.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, item_ids, changed_ids of every document."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -26,7 +31,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_dedup, op7_decontaminate, op9_toxicity)}
+    return {f.__name__: f for f in (op3_near_dedup, op5_mixing, op7_decontaminate, op9_toxicity)}
 
 
 _NEAR = r"""
