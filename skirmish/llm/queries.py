@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skirmish.llm import decontaminate, mixing, near_dedup, toxicity
+from skirmish.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from skirmish.llm.common import table
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, shard, shard_bits, shard_rows, shard_bytes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"))
+    size = F.coalesce("bytes", F.lit(0))
+    return sharding.assign_shards(docs, size=size).drop("bytes")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, class_rows of every document."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -31,7 +39,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_dedup, op5_mixing, op7_decontaminate, op9_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op3_near_dedup, op5_mixing, op7_decontaminate, op9_toxicity)}
 
 
 _NEAR = r"""
@@ -58,4 +66,4 @@ SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows FRO
 
 
 def sql_twins() -> dict[str, str]:
-    return {"op3_near_dedup": _NEAR}
+    return {"op2_sharding": sharding.sql_twin(), "op3_near_dedup": _NEAR}
