@@ -19,8 +19,9 @@ Candidates come from shared bands and are all compared exactly:
 * every text with up to three leaders of its buckets (the text with most bucket
   mates, two by hash), which joins up a large group at the cost of three
   comparisons a member;
-* then texts that share a bucket but no component so far, every such pair once,
-  until no bucket holds an unseen pair across components.
+* then all texts that share a bucket but no component so far: as pairs in small
+  buckets, in large ones block against block, where only links that join
+  components come back.
 
 Pairs inside one component are left out: no link between them can change a
 class. Null texts count as empty; texts without words are linked only to equal
@@ -34,8 +35,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.llm.common import chunks, components, hashes, mix, windows, words
@@ -43,8 +45,11 @@ from skirmish.session import cut
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
+# Texts of a bucket across components that are compared as pairs, at most; larger
+# buckets are compared in blocks of so many texts and bytes of runs.
+FEW, BLOCK, BLOCK_BYTES = 12, 512, 8 << 20
 # Cells of the dart board drawn at once.
-BOARD = 1 << 21
+BOARD = 1 << 19
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _HASH_BITS = 40
 
@@ -205,6 +210,76 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _blocks(nodes: Column, load: Column) -> Column:
+    """Blocks that a bucket's texts are dealt to: few enough texts and runs in each."""
+    return F.greatest(F.ceil(nodes / BLOCK), F.ceil(load * (_HASH_BITS // 8) / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _joined(threshold: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """Links between the two blocks of a group that join components; a forest of them."""
+        frame = frame.drop_duplicates("node").sort_values("node", kind="stable")
+        left = frame[frame["block"] == frame["i"]]
+        right = frame[frame["block"] == frame["j"]]
+        runs = [_unpack(x) for x in frame["runs"]]
+        size = np.array([len(x) for x in runs])
+        # runs of one text only cannot be shared
+        values, inverse, times = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[inverse]
+        owner = np.repeat(np.arange(len(frame)), size)
+        owner, column = owner[column >= 0], column[column >= 0]
+        place = {n: k for k, n in enumerate(frame["node"])}
+        x = np.array([place[n] for n in left["node"]], np.int64)
+        y = np.array([place[n] for n in right["node"]], np.int64)
+        common = np.zeros((len(x), len(y)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for start in range(0, int(times.size and (times > 1).sum()), 2048):
+            lo, hi = np.searchsorted(column, [start, start + 2048])
+            dense = np.zeros((len(frame), 2048), np.float32)
+            dense[owner[lo:hi], column[lo:hi] - start] = 1
+            common += dense[x] @ dense[y].T
+        alike = common >= np.float32(threshold) * (size[x][:, None] + size[y][None, :] - common) - 1e-3
+        root = {c: c for c in frame["comp"]}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        nodes, comps, out = frame["node"].to_numpy(), frame["comp"].to_numpy(), []
+        for p, q in zip(*np.nonzero(alike), strict=True):
+            u, v = int(x[p]), int(y[q])
+            both = int(common[p, q])
+            if u == v or both < threshold * (int(size[u]) + int(size[v]) - both):
+                continue
+            cu, cv = find(comps[u]), find(comps[v])
+            if cu != cv:
+                root[max(cu, cv)] = min(cu, cv)
+                out.append((min(nodes[u], nodes[v]), max(nodes[u], nodes[v])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _block_links(crowded: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links across components inside large buckets, found block against block.
+
+    crowded: key, node, comp, blocks. A text goes to as many groups as its
+    bucket has blocks; a group holds two blocks and gives back at most one link
+    for each component it joins to another, so no list of pairs is ever made.
+    """
+    dealt = crowded.join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    groups = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key",
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        "block", "node", "comp", "runs",
+    )
+    return groups.groupBy("key", "i", "j").applyInPandas(_joined(threshold), "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -253,22 +328,32 @@ def near_duplicates(
     )
     links = cut(_links(first, texts, threshold))
 
-    # every pair that shares a bucket across components is compared, once
+    # every pair that shares a bucket across components is compared
     comp = components(links)
     placed = shared.join(comp.withColumnRenamed("id", "node"), "node", "left").select(
         "key", "node", "n", F.coalesce("comp", "node").alias("comp")
     )
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    open_ = cut(placed.join(mixed.select("key"), "key", "left_semi"))
+    mixed = (
+        placed.groupBy("key")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("load"))
+        .where("lo <> hi")
+        .select("key", "m", _blocks(F.col("m"), F.col("load")).alias("blocks"))
+    )
+    open_ = cut(placed.join(mixed, "key"))
+    few = open_.where(F.col("m") <= FEW)
     second = (
-        open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        .join(open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "key")
+        few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        .join(few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "key")
         .where("a < b AND ca <> cb")
         .where(F.least("na", "nb").cast("double") >= F.greatest("na", "nb") * F.lit(threshold))
         .select("a", "b", "na", "nb")
         .distinct()
     )
-    more = cut(_links(second, texts, threshold))
+    more = cut(
+        _links(second, texts, threshold).unionByName(
+            _block_links(open_.where(F.col("m") > FEW), texts, threshold)
+        )
+    )
     comp = cut(components(links.unionByName(more)))
 
     nodes = (
