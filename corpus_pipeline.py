@@ -1,4 +1,14 @@
-"""From raw documents to shards, stage by stage; each stage's rows are written and read again."""
+"""From raw documents to shards: five stages, each written as Parquet and read again by the next.
+
+toxicity          drops documents that the classifier rejects
+near_duplicates   keeps one document of each class of near copies
+decontamination   drops documents that hold a benchmark item
+mixing            takes each source's documents as often as its target asks
+sharding          deals the rows to shards of bounded bytes
+
+Each stage sees only what its predecessor kept and learns or counts on that.
+All but the last return the columns of documents; the last adds the shard.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +16,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skirmish.llm import toxicity
+from skirmish.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from skirmish.llm.common import table
 from skirmish.session import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from the stage's own input."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.drop_toxic(docs, model)
+    """Documents below the toxicity cut-off; the model learns from labelled rows of the input."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that with the least doc_id."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with their shard and its rows and bytes."""
+    return sharding.assign_shards(docs)
 
 
-STAGES = [("toxicity", drop_toxic)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", deal_shards),
+]
 
 # Learned scores, hashed darts and random rounding have no SQL form.
 ORACLE_SQL = None
