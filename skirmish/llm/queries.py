@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import decontaminate, mixing, near_dedup, sharding, toxicity
+from skirmish.llm import ann, decontaminate, mixing, near_dedup, sharding, toxicity
 from skirmish.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: 20 neighbours of every 20th vector."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, item_ids, changed_ids of every document."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -39,7 +44,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_near_dedup, op5_mixing, op7_decontaminate, op9_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op3_near_dedup, op5_mixing, op6_ann, op7_decontaminate, op9_toxicity)}
 
 
 _NEAR = r"""
@@ -66,4 +71,4 @@ SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows FRO
 
 
 def sql_twins() -> dict[str, str]:
-    return {"op2_sharding": sharding.sql_twin(), "op3_near_dedup": _NEAR}
+    return {"op2_sharding": sharding.sql_twin(), "op3_near_dedup": _NEAR, "op6_ann": ann.sql_twin()}
