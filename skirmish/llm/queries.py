@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import ann, decontaminate, mixing, near_dedup, sharding, toxicity
+from skirmish.llm import ann, decontaminate, mixing, near_dedup, sharding, toxicity, warc
 from skirmish.llm.common import table
 
 
@@ -43,8 +43,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page's record."""
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_near_dedup, op5_mixing, op6_ann, op7_decontaminate, op9_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op3_near_dedup, op5_mixing, op6_ann, op7_decontaminate, op9_toxicity, op10_warc)}
 
 
 _NEAR = r"""
@@ -70,5 +75,21 @@ SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows FRO
 """
 
 
+_WARC = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), v AS (
+  SELECT page_id, payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS kept,
+         list_transform(range(0, 8), lambda i: ('0x' || substr(h, 1 + 5 * i::INT, 5))::INT) AS parts FROM p
+), b AS (
+  SELECT *, array_to_string(list_transform(parts, lambda q: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((q >> s) & 31), 1)), '')), '') AS payload_digest FROM v
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to FROM b
+"""
+
+
 def sql_twins() -> dict[str, str]:
-    return {"op2_sharding": sharding.sql_twin(), "op3_near_dedup": _NEAR, "op6_ann": ann.sql_twin()}
+    return {"op2_sharding": sharding.sql_twin(), "op3_near_dedup": _NEAR, "op10_warc": _WARC, "op6_ann": ann.sql_twin()}
