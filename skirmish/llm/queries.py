@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import ann, decontaminate, mixing, near_dedup, sharding, toxicity, warc
+from skirmish.llm import ann, decontaminate, mixing, near_dedup, secret_scan, sharding, toxicity, warc
 from skirmish.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_net of every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, shard, shard_bits, shard_rows, shard_bytes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"))
@@ -49,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_near_dedup, op5_mixing, op6_ann, op7_decontaminate, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dedup, op5_mixing, op6_ann, op7_decontaminate, op9_toxicity, op10_warc)}
 
 
 _NEAR = r"""
