@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import ann, decontaminate, mixing, near_dedup, secret_scan, sharding, toxicity, warc
+from skirmish.llm import ann, decontaminate, mixing, near_dedup, secret_scan, sharding, token_counts, toxicity, warc
 from skirmish.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, section, start, end, tokens, crossing, doc_tokens of every line of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents")).drop("name")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     return mixing.mixed(table(spark, sf_dir, "documents"))
@@ -54,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dedup, op5_mixing, op6_ann, op7_decontaminate, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dedup, op4_token_counts, op5_mixing, op6_ann, op7_decontaminate, op9_toxicity, op10_warc)}
 
 
 _NEAR = r"""
