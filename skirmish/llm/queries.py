@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import ann, decontaminate, mixing, near_dedup, secret_scan, sharding, token_counts, toxicity, warc
+from skirmish.llm import ann, decontaminate, line_dedup, mixing, near_dedup, secret_scan, sharding, token_counts, toxicity, warc
 from skirmish.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, line_no, copies, links, class_doc_id, class_line_no of every different line."""
+    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dedup, op4_token_counts, op5_mixing, op6_ann, op7_decontaminate, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dedup, op4_token_counts, op5_mixing, op6_ann, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_warc)}
 
 
 _NEAR = r"""
