@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released(df: DataFrame) -> DataFrame:
+    """Cut lineage, and let go of the shuffle files behind it.
+
+    Spark drops the files of a shuffle once the driver's JVM has collected the
+    plan that used it; a driver with little to do may not collect for hours.
+    """
+    table_ = cut(df)
+    df.sparkSession._jvm.System.gc()
+    return table_
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about CHUNK_BYTES of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

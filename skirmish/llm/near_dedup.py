@@ -40,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import chunks, components, hashes, mix, windows, words
+from skirmish.llm.common import chunks, components, hashes, mix, released, windows, words
 from skirmish.session import cut
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 # Texts of a bucket across components that are compared as pairs, at most; larger
 # buckets are compared in blocks of so many texts and bytes of runs.
-FEW, BLOCK, BLOCK_BYTES = 12, 512, 8 << 20
+FEW, BLOCK, BLOCK_BYTES = 12, 512, 2 << 20
 # Cells of the dart board drawn at once.
 BOARD = 1 << 19
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -280,6 +280,16 @@ def _block_links(crowded: DataFrame, texts: DataFrame, threshold: float) -> Data
     return groups.groupBy("key", "i", "j").applyInPandas(_joined(threshold), "a long, b long").distinct()
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """node, comp: texts of one label are connected; most of a group around a leader has one."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+        links.select(F.col("b").alias("node"), F.col("a").alias("other"))
+    )
+    near = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp"))
+    far = both.join(near.select(F.col("node").alias("other"), "comp"), "other")
+    return far.groupBy("node").agg(F.least(F.col("node"), F.min("comp"), F.min("other")).alias("comp"))
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -295,7 +305,7 @@ def near_duplicates(
         sig.select("node", "n", F.explode("bands").alias("key")).groupBy("key", "node").agg(F.max("n").alias("n"))
     )
     crowds = entries.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    shared = cut(entries.join(crowds, "key"))
+    shared = released(entries.join(crowds, "key"))
 
     mates = shared.groupBy("node").agg(F.sum("crowd").alias("mates"))
     ranked = shared.join(mates, "node")
@@ -323,14 +333,13 @@ def near_duplicates(
         F.when(F.col("node") < F.col("leader.node"), F.col("leader.n")).otherwise(F.col("n")).alias("nb"),
     ).distinct()
     bucketed = shared.select("node").distinct()
-    texts = cut(
+    texts = released(
         sig.select("node", "runs").join(bucketed, "node", "left_semi").groupBy("node").agg(F.first("runs").alias("runs"))
     )
-    links = cut(_links(first, texts, threshold))
+    links = released(_links(first, texts, threshold))
 
     # every pair that shares a bucket across components is compared
-    comp = components(links)
-    placed = shared.join(comp.withColumnRenamed("id", "node"), "node", "left").select(
+    placed = shared.join(_labels(links), "node", "left").select(
         "key", "node", "n", F.coalesce("comp", "node").alias("comp")
     )
     mixed = (
@@ -354,7 +363,7 @@ def near_duplicates(
             _block_links(open_.where(F.col("m") > FEW), texts, threshold)
         )
     )
-    comp = cut(components(links.unionByName(more)))
+    comp = components(links.unionByName(more))
 
     nodes = (
         sig.groupBy("node")
