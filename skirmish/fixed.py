@@ -42,7 +42,6 @@ KILL_TOLERANCE_S = 20
 RECENT_COMBATS = 25
 DEFAULT_ABILITIES = 7
 MIN_SOURCE_COMBATS = 3
-RECENT_ENCOUNTERS_PER_CHARACTER = 75
 PALETTE_SLOTS = 6
 UNKNOWN_ZONE = "UNKNOWN AREA"
 HEALING_TYPES = ("heal", "absorb")

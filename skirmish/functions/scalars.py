@@ -131,16 +131,6 @@ def run_label() -> Column:
     return F.concat_ws(" — ", who, date, minutes_label("duration_s"), stronger)
 
 
-def parse_spell_filter(text: str | None) -> tuple[str | None, str | None]:
-    """'Name [Damage]' / 'Name [Healing]' / bare 'Name' to (name, kind)."""
-    if not text:
-        return None, None
-    if text.endswith("]") and " [" in text:
-        name, kind = text.rsplit(" [", 1)
-        return name, kind.rstrip("]").lower()
-    return text, None
-
-
 def log_time(text: str | Column) -> Column:
     """Log timestamp with one to six fraction digits; anything else is null."""
     return F.try_to_timestamp(col(text), F.lit(fixed.TIMESTAMP_FORMAT))

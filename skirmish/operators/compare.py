@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skirmish import fixed
 from skirmish.functions.scalars import (
     damage_total,
     has_text,
@@ -22,7 +21,7 @@ from skirmish.functions.scalars import (
 from skirmish.operators.kills import kills_to_encounters
 from skirmish.operators.metrics import combat_players, in_combat
 from skirmish.operators.runs import RUN
-from skirmish.operators.spells import spell_ranks, rotation_timeline
+from skirmish.operators.spells import first_rows, rotation_timeline, spell_ranks
 from skirmish.schemas import COMBAT
 from skirmish.session import cut
 
@@ -30,30 +29,39 @@ from skirmish.session import cut
 def fingerprints(
     events: DataFrame,
     characters: list[str] | None = None,
-    last_n: int = fixed.RECENT_ENCOUNTERS_PER_CHARACTER,
+    last_n: int | None = None,
 ) -> DataFrame:
-    """Sorted set of targets of each character's last_n newest encounters, itself left out."""
+    """Sorted set of targets of each character's encounters, itself left out.
+
+    last_n keeps the encounters of each character that began last.
+    """
     rows = in_combat(events).filter(has_text("source"))
     if characters is not None:
         rows = rows.filter(F.col("source").isin(*characters))
     target = F.when(has_text("target") & (F.col("target") != F.col("source")), F.col("target"))
     sets = rows.groupBy(F.col("source").alias("character"), *COMBAT).agg(
-        F.array_sort(F.collect_set(target)).alias("targets")
+        F.array_sort(F.collect_set(target)).alias("targets"), F.min("ts").alias("_begun")
     )
-    newest = Window.partitionBy("character").orderBy(F.desc("combat_id"), F.desc("log_id"))
-    ranked = sets.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= last_n)
-    return ranked.drop("_rank")
+    return first_rows(sets, ["character"], _newest_first("_begun"), last_n).drop("_begun")
+
+
+def _newest_first(begun: str) -> list:
+    """Newest by time; ids count per log and say nothing over logs."""
+    return [F.desc_nulls_last(begun), F.desc("combat_id"), F.desc("log_id")]
 
 
 def encounter_sequence(
-    events: DataFrame, last_n: int = fixed.RECENT_ENCOUNTERS_PER_CHARACTER
+    events: DataFrame, last_n: int | None = None
 ) -> DataFrame:
-    """The last_n newest encounters of each source with rates, numbered oldest first."""
-    stats = _source_stats(events)
-    newest = Window.partitionBy("source").orderBy(F.desc("combat_id"), F.desc("log_id"))
-    kept = stats.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= last_n)
-    oldest = Window.partitionBy("source").orderBy("combat_id", "log_id")
-    return kept.withColumn("enc_seq", F.row_number().over(oldest)).drop("_rank")
+    """Encounters of each source with rates, numbered oldest first.
+
+    last_n keeps those that began last.
+    """
+    begun = in_combat(events).groupBy("source", *COMBAT).agg(F.min("ts").alias("_begun"))
+    stats = _source_stats(events).join(begun, ["source", *COMBAT])
+    kept = first_rows(stats, ["source"], _newest_first("_begun"), last_n)
+    oldest = Window.partitionBy("source").orderBy(F.asc_nulls_first("_begun"), "combat_id", "log_id")
+    return kept.withColumn("enc_seq", F.row_number().over(oldest)).drop("_begun")
 
 
 def _source_stats(events: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ from skirmish.schemas import COMBAT
 TIMELINE_TYPES = ("damage", *fixed.HEALING_TYPES)
 
 
-def first_rows(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
-    """First n rows by order, of the whole or of each ``by`` group."""
+def first_rows(df: DataFrame, by: list[str], order: list, n: int | None) -> DataFrame:
+    """First n rows by order, of the whole or of each ``by`` group; all for None."""
+    if n is None:
+        return df
     if not by:
         return df.orderBy(*order).limit(n)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -66,7 +68,8 @@ def character_spells(events: DataFrame, types, top_n: int = 10) -> DataFrame:
 
 def spell_filter_options(events: DataFrame, top_n: int = fixed.DEFAULT_ABILITIES) -> DataFrame:
     """Choices for the spell filter of time_series, in order, of every combat:
-    its best damage abilities, then its best healing abilities."""
+    its best damage abilities, then its best healing abilities; ``spell`` and
+    ``kind`` are the arguments of time_series that the option stands for."""
 
     def options(types, kind: str, side: int) -> DataFrame:
         best = spell_aggregates(events, types, top_n, by=tuple(COMBAT))
@@ -75,12 +78,13 @@ def spell_filter_options(events: DataFrame, top_n: int = fixed.DEFAULT_ABILITIES
             F.lit(side).alias("side"),
             "total",
             "spell",
+            F.lit(kind.lower()).alias("kind"),
             F.concat("spell", F.lit(f" [{kind}]")).alias("option"),
         )
 
     both = options("damage", "Damage", 0).unionByName(options(list(fixed.HEALING_TYPES), "Healing", 1))
     order = Window.partitionBy(*COMBAT).orderBy("side", F.desc("total"), "spell")
-    return both.select(*COMBAT, F.row_number().over(order).alias("position"), "option")
+    return both.select(*COMBAT, F.row_number().over(order).alias("position"), "option", "spell", "kind")
 
 
 def most_cast(events: DataFrame, n: int = 25, of: int = 40) -> DataFrame:

@@ -15,28 +15,48 @@ def _bucket(us):
     return F.floor(us / F.lit(BUCKET_S * 1_000_000)).cast("bigint")
 
 
-def assign_encounter(events: DataFrame, encounters: DataFrame) -> DataFrame:
-    """Add combat_id, zone_id, zone_name of the last encounter begun by ts.
+def _spans(encounters: DataFrame) -> DataFrame:
+    """Encounters with the start of the next one and the lines of their lap.
 
-    It must not have ended before ts; otherwise, and for a missing ts, the
-    stamp is 0, 0, ''. Encounters are spread over time buckets and joined on
-    (log_id, bucket): each event meets only encounters of its own minute, and a
-    crowded minute can be split by the skew join, since no side is grouped.
+    Where an encounter starts before the one before it, the log's clock has
+    been set back and a new lap begins. Within a lap encounters follow each
+    other in time, so that one at most covers an event; next_start is that of
+    the next encounter of the lap, _lap_from and _lap_to bound its lines (null:
+    open, so a log with one lap needs no line numbers).
     """
-    events = events.drop("combat_id", "zone_id", "zone_name")
-    # The next encounter of the log takes over from its start on.
-    spans = running(
-        encounters.withColumn("_rev", -F.col("combat_id")),
+    block = seq_block("combat_id")
+    rows = running(
+        encounters, ["log_id"], block, ["combat_id"], {"_prev": ("last", F.col("start_ts"))}, before=True
+    )
+    opens = F.when(F.col("start_ts") < F.col("_prev"), F.col("open_seq"))
+    rows = running(rows, ["log_id"], block, ["combat_id"], {"_lap_from": ("last", opens)})
+    rows = running(
+        rows.withColumn("_rev", -F.col("combat_id")),
         ["log_id"],
-        -seq_block("combat_id"),
+        -block,
         ["_rev"],
-        {"next_start": ("last", F.col("start_ts"))},
+        {"next_start": ("last", F.col("start_ts")), "_lap_to": ("last", opens)},
         before=True,
     )
+    same_lap = F.col("next_start") >= F.col("start_ts")
+    return rows.withColumn("next_start", F.when(same_lap, F.col("next_start")))
+
+
+def assign_encounter(events: DataFrame, encounters: DataFrame) -> DataFrame:
+    """Add combat_id, zone_id, zone_name of the last encounter begun by ts.
+
+    It must not have ended before ts; otherwise, and for a missing ts, the
+    stamp is 0, 0, ''. Every event gets one stamp, also where a log's clock is
+    set back: then only encounters of the event's own lap count. Encounters are
+    spread over time buckets and joined on (log_id, bucket): each event meets
+    only encounters of its own minute, and a crowded minute can be split by the
+    skew join, since no side is grouped.
+    """
+    events = events.drop("combat_id", "zone_id", "zone_name")
     first = _bucket(F.unix_micros("start_ts"))
     last = _bucket(F.unix_micros("end_ts"))
-    spans = spans.select(
-        "log_id", "combat_id", "zone_id", "zone_name", "start_ts", "end_ts", "next_start",
+    spans = _spans(encounters).select(
+        "log_id", "combat_id", "zone_id", "zone_name", "start_ts", "end_ts", "next_start", "_lap_from", "_lap_to",
         F.explode(F.sequence(first, last)).alias("_bucket"),
     )
     e = events.withColumn("_bucket", _bucket(F.unix_micros("ts"))).alias("e")
@@ -47,6 +67,8 @@ def assign_encounter(events: DataFrame, encounters: DataFrame) -> DataFrame:
         & (F.col("e.ts") >= F.col("s.start_ts"))
         & (F.col("e.ts") <= F.col("s.end_ts"))
         & (F.col("s.next_start").isNull() | (F.col("e.ts") < F.col("s.next_start")))
+        & (F.col("s._lap_from").isNull() | (F.col("e.seq") >= F.col("s._lap_from")))
+        & (F.col("s._lap_to").isNull() | (F.col("e.seq") < F.col("s._lap_to")))
     )
     return e.join(s, covered, "left").select(
         *[F.col(f"e.{c}") for c in events.columns],

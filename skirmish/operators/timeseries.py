@@ -10,7 +10,6 @@ from skirmish.functions.scalars import (
     healing_total,
     is_damage,
     is_healing,
-    parse_spell_filter,
     seconds,
     sum_where,
 )
@@ -25,16 +24,15 @@ def _bucket_us(step_s: int) -> Column:
 
 
 def time_series(
-    events: DataFrame, step_s: int = 2, spell_filter: str | None = None
+    events: DataFrame, step_s: int = 2, spell: str | None = None, kind: str | None = None
 ) -> DataFrame:
     """Damage and healing per bucket of every combat, empty buckets as 0.
 
     Buckets run from the first to the last damage event and from the first to
     the last healing event; a hole between the two stretches stays a hole. The
-    values are sums of a bucket, not divided by its width. A spell filter
-    ("Name", "Name [Damage]", "Name [Healing]") adds the sums of that spell.
+    values are sums of a bucket, not divided by its width. A ``spell`` adds the
+    sums of that spell, of one ``kind`` ("damage" or "healing") or of both.
     """
-    spell, kind = parse_spell_filter(spell_filter)
     chosen = F.col("spell_name") == F.lit(spell)
     none = F.lit(0).cast("bigint")
     selected = {} if spell is None else {
@@ -141,18 +139,20 @@ def trend_long(trend: DataFrame) -> DataFrame:
     return trend.unpivot(COMBAT, ["dps", "hps", "dps_roll", "hps_roll"], "metric", "value")
 
 
-def cumulative_frames(events: DataFrame, max_bars: int = 5, max_frames: int = 120) -> DataFrame:
-    """Damage so far of the best sources, for every second of every combat.
+def cumulative_frames(
+    events: DataFrame, step_s: int = 1, max_bars: int | None = None, max_frames: int | None = None
+) -> DataFrame:
+    """Damage so far of every source, for every step of every combat.
 
-    Frames stop after max_frames seconds; a source keeps its rank by the
-    damage of the whole combat.
+    The last frame holds all damage. For a display, max_bars keeps the best
+    sources by the damage of the whole combat, and max_frames the first frames.
     """
     starts = combat_starts(events)
     timed = events.filter(is_damage() & F.col("ts").isNotNull() & F.col("source").isNotNull())
-    # An event shows from the first whole second that is not before it.
+    # An event shows from the first whole step that is not before it.
     per_second = (
         timed.join(starts, COMBAT)
-        .withColumn("frame", F.ceil(elapsed_us() / F.lit(1_000_000)).cast("bigint"))
+        .withColumn("frame", F.ceil(elapsed_us() / F.lit(step_s * 1_000_000)).cast("bigint"))
         .groupBy(*COMBAT, "source", "frame")
         .agg(F.sum("effective_amount").alias("d"), F.first("span_us").alias("span_us"))
     )
@@ -160,9 +160,9 @@ def cumulative_frames(events: DataFrame, max_bars: int = 5, max_frames: int = 12
         F.sum("d").alias("total"), F.first("span_us").alias("span_us")
     )
     top = first_rows(sources, COMBAT, [F.desc("total"), F.col("source")], max_bars)
-    last = F.least(
-        F.lit(max_frames - 1), F.greatest(F.lit(1), F.floor(seconds("span_us")))
-    ).cast("bigint")
+    last = F.greatest(F.lit(1), F.ceil(F.col("span_us") / F.lit(step_s * 1_000_000))).cast("bigint")
+    if max_frames is not None:
+        last = F.least(F.lit(max_frames - 1).cast("bigint"), last)
     grid = top.select(
         *COMBAT, "source", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("frame")
     )

@@ -177,12 +177,12 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     # Series.
     "time_series": lambda d: tm.time_series(mt.in_combat(d.ev), 5),
     "time_series_spell": lambda d: tm.time_series(mt.in_combat(d.ev), 5, "S3"),
-    "time_series_spell_damage": lambda d: tm.time_series(mt.in_combat(d.ev), 5, "S3 [Damage]"),
+    "time_series_spell_damage": lambda d: tm.time_series(mt.in_combat(d.ev), 5, "S3", "damage"),
     "smooth": lambda d: tm.smooth(tm.time_series(mt.in_combat(d.ev), 5), 10, 5),
     "series_long": lambda d: tm.series_long(tm.time_series(mt.in_combat(d.ev), 5)),
     "encounter_trend": lambda d: tm.encounter_trend(mt.encounter_stats(d.ev)),
     "trend_long": lambda d: tm.trend_long(tm.encounter_trend(mt.encounter_stats(d.ev))),
-    "cumulative_frames": lambda d: tm.cumulative_frames(d.ev),
+    "cumulative_frames": lambda d: tm.cumulative_frames(d.ev, 60),
     # Comparisons.
     "fingerprints": lambda d: cp.fingerprints(d.ev),
     "encounter_sequence": lambda d: cp.encounter_sequence(d.ev),

@@ -133,7 +133,7 @@ per_source AS (SELECT source, log_id, combat_id, (max(us) - min(us)) / 1e6 AS du
 prints AS (SELECT * FROM (SELECT source AS character, log_id, combat_id,
   coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (target <> '' AND target <> source), '') AS targets,
   row_number() OVER (PARTITION BY source ORDER BY combat_id DESC) AS r
-  FROM fights GROUP BY source, log_id, combat_id) WHERE r <= 75)""",
+  FROM fights GROUP BY source, log_id, combat_id))""",
     "timeline": """
 timeline AS (SELECT * FROM ev WHERE type IN ('damage', 'heal', 'absorb'))""",
     "ranks": """
@@ -594,11 +594,11 @@ UNION ALL SELECT log_id, combat_id, 'hps_roll', hps_roll FROM trend """,
     "cumulative_frames": (
         """SELECT g.log_id, g.combat_id, g.source, g.frame, CAST(coalesce(sum(d) OVER (PARTITION BY g.log_id, g.combat_id, g.source
     ORDER BY g.frame ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS damage
-FROM (SELECT log_id, combat_id, source, unnest(range(least(119, greatest(1, span_us // 1000000)) + 1)) AS frame FROM (
+FROM (SELECT log_id, combat_id, source, unnest(range(greatest(1, (span_us + 59999999) // 60000000) + 1)) AS frame FROM (
     SELECT e.log_id, e.combat_id, source, any_value(span_us) AS span_us, row_number() OVER (PARTITION BY e.log_id, e.combat_id
       ORDER BY sum(effective_amount) DESC, source) AS r
-    FROM ev e JOIN starts USING (log_id, combat_id) WHERE type = 'damage' GROUP BY e.log_id, e.combat_id, source) WHERE r <= 5) g
-LEFT JOIN (SELECT e.log_id, e.combat_id, source, (us - start_us + 999999) // 1000000 AS frame, sum(effective_amount) AS d
+    FROM ev e JOIN starts USING (log_id, combat_id) WHERE type = 'damage' GROUP BY e.log_id, e.combat_id, source)) g
+LEFT JOIN (SELECT e.log_id, e.combat_id, source, (us - start_us + 59999999) // 60000000 AS frame, sum(effective_amount) AS d
   FROM ev e JOIN starts USING (log_id, combat_id) WHERE type = 'damage' GROUP BY ALL) s
   ON s.log_id = g.log_id AND s.combat_id = g.combat_id AND s.source = g.source AND s.frame = g.frame""",
         "",
@@ -608,7 +608,7 @@ LEFT JOIN (SELECT e.log_id, e.combat_id, source, (us - start_us + 999999) // 100
         f"""SELECT source, log_id, combat_id, dur AS duration_s, dmg AS total_damage, heal AS total_heal,
   {_rate('dmg', 'dur')} AS dps, {_rate('heal', 'dur')} AS hps,
   row_number() OVER (PARTITION BY source ORDER BY combat_id) AS enc_seq
-FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY combat_id DESC) AS r FROM per_source ) WHERE r <= 75""",
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY combat_id DESC) AS r FROM per_source )""",
         "duration_s dps hps",
     ),
     "pair_exact": (
@@ -735,10 +735,10 @@ _BODIES["pair_alike"] = (
     "",
 )
 _BODIES["spell_filter_options"] = (
-    f"""SELECT log_id, combat_id, option, row_number() OVER (PARTITION BY log_id, combat_id ORDER BY side, total DESC, spell) AS position
-FROM (SELECT log_id, combat_id, 0 AS side, total, spell, spell || ' [Damage]' AS option
+    f"""SELECT log_id, combat_id, option, spell, kind, row_number() OVER (PARTITION BY log_id, combat_id ORDER BY side, total DESC, spell) AS position
+FROM (SELECT log_id, combat_id, 0 AS side, total, spell, 'damage' AS kind, spell || ' [Damage]' AS option
     FROM ({_spells("type = 'damage'", 'log_id, combat_id', 7)})
-  UNION ALL SELECT log_id, combat_id, 1, total, spell, spell || ' [Healing]'
+  UNION ALL SELECT log_id, combat_id, 1, total, spell, 'healing', spell || ' [Healing]'
     FROM ({_spells(_HEAL, 'log_id, combat_id', 7)}))""",
     "",
 )

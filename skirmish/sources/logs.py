@@ -31,19 +31,13 @@ def with_file_columns(lines: DataFrame) -> DataFrame:
     )
 
 
-# One row per file split: a million of them stand for over 100 TB of text in
-# splits of 128 MB, and take a few hundred MB when broadcast.
-MAX_BROADCAST_SPLITS = 1_000_000
-
-
 def number_lines(lines: DataFrame, log_id: str | None = None) -> DataFrame:
     """seq = 0, 1, 2, ... per log: files by the time in their name, lines as they stand.
 
     The text is read once and kept as a table. Lines keep their order within a
     file split, so each is numbered from the count of lines in the splits
-    before it. Only one row per split is sorted, and the lines are not
-    shuffled: the split rows are broadcast while they are few enough, beyond
-    that the join is left to the planner.
+    before it. Only one row per split is sorted. The planner knows the size of
+    that table and broadcasts it while it is small; then no line is shuffled.
     """
     if log_id is not None:
         lines = lines.withColumn("log_id", F.lit(log_id))
@@ -58,8 +52,6 @@ def number_lines(lines: DataFrame, log_id: str | None = None) -> DataFrame:
             "log_id", "_file", "_split", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")
         )
     )
-    if splits.count() <= MAX_BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
     return rows.join(splits, ["log_id", "_file", "_split"]).select(
         "log_id", (F.col("_row") + F.col("_shift")).cast("bigint").alias("seq"), "value"
     )

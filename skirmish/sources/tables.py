@@ -78,7 +78,7 @@ def export_table_csv(table: DataFrame, path: str, mode: str = "overwrite") -> No
 def read_boss_kills(spark: SparkSession, path: str, log_id: str = "main") -> DataFrame:
     """Boss kills from JSON lines; bad lines drop out, a missing file is empty.
 
-    seq is the order of the kills.
+    seq is the order of the kills: as written, or else by the time of the kill.
     """
     if not path_exists(spark, path):
         rows = spark.createDataFrame([], schemas.BOSS_KILLS_JSON)
@@ -86,7 +86,7 @@ def read_boss_kills(spark: SparkSession, path: str, log_id: str = "main") -> Dat
         rows = spark.read.schema(schemas.BOSS_KILLS_JSON).option("mode", "DROPMALFORMED").json(path)
     return rows.select(
         F.coalesce("log_id", F.lit(log_id)).alias("log_id"),
-        F.monotonically_increasing_id().alias("seq"),
+        F.coalesce("seq", F.unix_micros(log_time("end_ts"))).alias("seq"),
         F.coalesce("boss_name", F.lit("Unknown")).alias("boss_name"),
         log_time("start_ts").alias("start_ts"),
         log_time("end_ts").alias("end_ts"),
@@ -99,6 +99,7 @@ def write_boss_kills(kills: DataFrame, path: str, mode: str = "overwrite") -> No
     """JSON lines, times as log text; mode overwrite or append."""
     kills.select(
         "log_id",
+        "seq",
         "boss_name",
         log_time_text("start_ts").alias("start_ts"),
         log_time_text("end_ts").alias("end_ts"),

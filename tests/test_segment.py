@@ -172,3 +172,24 @@ def test_marker_pairing(spark):
 
 def test_units_helper_shape():
     assert len(units(ME, mob(1))) == 8
+
+
+def test_one_stamp_per_event_where_the_clock_steps_back(spark):
+    """Three fights; the third starts 96 s before the second by the log's clock."""
+    texts = [
+        spell_hit(0, ME, mob(1)), died(2, mob(1)),
+        spell_hit(100, ME, mob(2)), spell_hit(101, ME, mob(2)), died(102, mob(2)),
+        spell_hit(4, ME, mob(3)), spell_hit(101, ME, mob(3)), spell_hit(102, ME, mob(3)), died(103, mob(3)),
+    ]
+    lines = lines_df(spark, texts)
+    encounters = spark.createDataFrame(
+        [("main", 1, 0, 0, 2), ("main", 2, 2, 100, 102), ("main", 3, 5, 4, 103)],
+        "log_id string, combat_id long, open_seq long, a int, b int",
+    ).selectExpr(
+        "log_id", "combat_id", "open_seq",
+        f"timestamp'{START}' + make_interval(0,0,0,0,0,0,a) AS start_ts",
+        f"timestamp'{START}' + make_interval(0,0,0,0,0,0,b) AS end_ts",
+        "1 AS zone_id", "'Z' AS zone_name",
+    )
+    got = stamped_events(lines, encounters).orderBy("seq").collect()
+    assert [(r.seq, r.combat_id) for r in got] == [(0, 1), (2, 2), (3, 2), (5, 3), (6, 3), (7, 3)]

@@ -154,3 +154,11 @@ def test_role_by_name_and_order_of_matches(spark):
     )
     roles = run_roles(ev, assign_runs(encounter_summary(ev)), spells).orderBy("run_id").collect()
     assert [(r.run_role, r.run_spec) for r in roles] == [("Healer", "Beta"), ("Healer", "Beta"), ("DPS", "")]
+
+
+def test_kills_keep_their_order_over_many_files(spark, tmp_path):
+    rows = [("main", i, f"B{i}", START, START, 1, 3) for i in range(40)]
+    kills = spark.createDataFrame(rows, "log_id string, seq long, boss_name string, start_ts timestamp, end_ts timestamp, kill_flag int, zone_id int")
+    tables.write_boss_kills(kills.repartition(7, "boss_name"), str(tmp_path / "kills"))
+    back = tables.read_boss_kills(spark, str(tmp_path / "kills")).orderBy("seq").collect()
+    assert [r.boss_name for r in back] == [f"B{i}" for i in range(40)]
