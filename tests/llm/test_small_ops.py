@@ -398,7 +398,7 @@ def test_edit_distance_is_exact_up_to_the_bound(spark):
         assert bad.count() == 0
 
 
-@pytest.mark.parametrize("crowd", [24, 1])
+@pytest.mark.parametrize("crowd", [6, 1])
 def test_line_links_equal_brute_force(spark, docs, monkeypatch, crowd):
     """``crowd`` of 1 sends nearly every segment through the finer split."""
     monkeypatch.setattr(line_dedup, "CROWD", crowd)
