@@ -342,16 +342,22 @@ def main_target(events: DataFrame, policy: str = "hits") -> DataFrame:
 def recent_encounters(
     events: DataFrame, hidden: DataFrame | None = None, n: int = fixed.RECENT_COMBATS
 ) -> DataFrame:
-    """The n newest combats with damage; hidden ones then drop out of these n."""
+    """The n newest combats with damage; hidden ones then drop out of these n.
+
+    Newest by time, as ids count per log; what is outside of combat comes last.
+    Hidden ids without a log_id hide that id in every log.
+    """
     newest = (
         events.filter(is_damage())
         .groupBy(*COMBAT)
-        .agg(F.sum("effective_amount").alias("total_damage"))
-        .orderBy(F.desc("combat_id"), "log_id")
+        .agg(F.sum("effective_amount").alias("total_damage"), F.min("ts").alias("_begun"))
+        .orderBy(F.col("combat_id") == 0, F.desc_nulls_last("_begun"), F.desc("combat_id"), "log_id")
         .limit(n)
+        .drop("_begun")
     )
     if hidden is not None:
-        newest = newest.join(hidden.select("combat_id").distinct(), "combat_id", "left_anti")
+        keys = [c for c in COMBAT if c in hidden.columns]
+        newest = newest.join(hidden.select(*keys).distinct(), keys, "left_anti")
     # n rows at most, so a broadcast is safe.
     rows = events.join(F.broadcast(newest.select(*COMBAT)), COMBAT, "left_semi")
     facts = rows.groupBy(*COMBAT).agg(

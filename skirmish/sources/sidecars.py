@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skirmish import schemas
+from skirmish.schemas import COMBAT
 from skirmish.sources.tables import path_exists
 
 
@@ -35,23 +36,35 @@ def read_healer_spells(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_hidden(spark: SparkSession, path: str) -> DataFrame:
+def _named(df: DataFrame, log_id: str | None) -> DataFrame:
+    """Ids count per log: the log a side file belongs to, if it is given."""
+    return df if log_id is None else df.select(F.lit(log_id).alias("log_id"), *df.columns)
+
+
+def _keys(*tables: DataFrame) -> list[str]:
+    """An encounter's key as far as all tables name it."""
+    return [c for c in COMBAT if all(c in t.columns for t in tables)]
+
+
+def read_hidden(spark: SparkSession, path: str, log_id: str | None = None) -> DataFrame:
     """Hidden combat ids from a JSON array; empty if missing or malformed."""
     ids = F.from_json("value", "array<bigint>")
-    return (
+    found = (
         _whole_text(spark, path)
         .select(F.explode(ids).alias("combat_id"))
         .filter(F.col("combat_id").isNotNull())
         .distinct()
     )
+    return _named(found, log_id)
 
 
 def toggle_hidden(hidden: DataFrame, combat_ids: DataFrame) -> DataFrame:
-    """Ids in exactly one of the two tables."""
-    left = hidden.select("combat_id").distinct().withColumn("_was", F.lit(True))
-    right = combat_ids.select("combat_id").distinct().withColumn("_flip", F.lit(True))
-    both = left.join(right, "combat_id", "full_outer")
-    return both.filter(F.col("_was").isNull() | F.col("_flip").isNull()).select("combat_id")
+    """Encounters in exactly one of the two tables, by log_id where both have it."""
+    keys = _keys(hidden, combat_ids)
+    left = hidden.select(*keys).distinct().withColumn("_was", F.lit(True))
+    right = combat_ids.select(*keys).distinct().withColumn("_flip", F.lit(True))
+    both = left.join(right, keys, "full_outer")
+    return both.filter(F.col("_was").isNull() | F.col("_flip").isNull()).select(*keys)
 
 
 def write_hidden(hidden: DataFrame, path: str) -> None:
@@ -60,29 +73,33 @@ def write_hidden(hidden: DataFrame, path: str) -> None:
     ids.select(F.to_json("ids").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
+def read_notes(spark: SparkSession, path: str, log_id: str | None = None) -> DataFrame:
     """(combat_id, note); the last line of a combat counts, bad lines do not."""
     if not path_exists(spark, path):
-        return spark.createDataFrame([], schemas.NOTES)
+        return _named(spark.createDataFrame([], schemas.NOTES), log_id)
     lines = spark.read.schema(schemas.NOTES).option("mode", "DROPMALFORMED").json(path)
+    # Files in the order of their names, lines as they stand.
+    lines = lines.select("*", "_metadata.file_path", "_metadata.file_block_start")
     lines = lines.filter(F.col("combat_id").isNotNull()).withColumn(
         "_line", F.monotonically_increasing_id()
     )
-    last = Window.partitionBy("combat_id").orderBy(F.desc("_line"))
-    return (
+    last = Window.partitionBy("combat_id").orderBy(
+        F.desc("file_path"), F.desc("file_block_start"), F.desc("_line")
+    )
+    found = (
         lines.withColumn("_rank", F.row_number().over(last))
         .filter("_rank = 1")
         .select("combat_id", F.coalesce("note", F.lit("")).alias("note"))
     )
+    return _named(found, log_id)
 
 
 def upsert_note(notes: DataFrame, changes: DataFrame) -> DataFrame:
     """Notes with the changes in place; an empty note removes the entry."""
-    kept = notes.join(changes.select("combat_id"), "combat_id", "left_anti")
+    keys = _keys(notes, changes)
+    kept = notes.join(changes.select(*keys), keys, "left_anti")
     fresh = changes.filter(F.col("note").isNotNull() & (F.col("note") != ""))
-    return kept.select("combat_id", "note").unionByName(fresh.select("combat_id", "note")).orderBy(
-        "combat_id"
-    )
+    return kept.select(*keys, "note").unionByName(fresh.select(*keys, "note")).orderBy(*keys)
 
 
 def write_notes(notes: DataFrame, path: str) -> None:

@@ -68,6 +68,11 @@ def test_recent_cut_comes_before_hiding(spark):
     df = events_df(spark, [ev(c, c * 100) for c in range(1, 6)])
     hidden = spark.createDataFrame([(5,)], "combat_id bigint")
     assert sorted(r.combat_id for r in mt.recent_encounters(df, hidden, n=2).collect()) == [4]
+    other = df.withColumn("log_id", F.lit("other"))
+    of_main = spark.createDataFrame([("main", 5)], "log_id string, combat_id bigint")
+    seen = mt.recent_encounters(df.unionByName(other), of_main, n=20).collect()
+    assert ("other", 5) in {(r.log_id, r.combat_id) for r in seen}
+    assert ("main", 5) not in {(r.log_id, r.combat_id) for r in seen}
 
 
 def test_dominant_kind_and_share_before_cut(spark):
