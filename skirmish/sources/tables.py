@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ CSV_COLUMNS = (
     "effective_amount", "type", "zone_id", "zone_name", "spell_id",
 )
 _SOURCE_NAMES = ("source", "player", "character", "name")
+# Bits of a row's number within its task.
+ROW_BITS = 33
 
 
 def read_events(spark: SparkSession, path: str, log_id: str = "main") -> DataFrame:
@@ -21,7 +23,8 @@ def read_events(spark: SparkSession, path: str, log_id: str = "main") -> DataFra
 
     The header decides which columns are there: missing zone and spell columns
     read as 0 and '', the source may be named player, character or name, and a
-    bad timestamp is null. Only the header line is read ahead.
+    bad timestamp is null. Only the header line is read ahead. seq grows in
+    the order of file names and of the lines in a file, with gaps.
     """
     head = spark.read.option("header", True).csv(path, inferSchema=False)
     have = head.columns
@@ -36,9 +39,16 @@ def read_events(spark: SparkSession, path: str, log_id: str = "main") -> DataFra
     def words(name: str):
         return (F.col(name) if name in have else F.lit(None)).cast("string").alias(name)
 
-    return rows.select(
+    # A split is read by one task from its start on; splits are ranked by file and place.
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split")]
+    ranks = rows.select(*split).distinct().withColumn(
+        "_rank", F.row_number().over(Window.orderBy("_file", "_split")).cast("bigint")
+    )
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    events = rows.select(
+        *split,
         F.lit(log_id).alias("log_id"),
-        F.monotonically_increasing_id().alias("seq"),
+        nth.alias("seq"),
         number("combat_id", "bigint"),
         log_time("timestamp").alias("ts"),
         words("event"),
@@ -52,6 +62,8 @@ def read_events(spark: SparkSession, path: str, log_id: str = "main") -> DataFra
         F.coalesce(words("zone_name"), F.lit("")).alias("zone_name"),
         number("spell_id", "bigint"),
     )
+    placed = F.shiftleft("_rank", ROW_BITS) + F.col("seq")
+    return events.join(ranks, ["_file", "_split"]).withColumn("seq", placed).drop("_file", "_split", "_rank")
 
 
 def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -162,3 +162,20 @@ def test_kills_keep_their_order_over_many_files(spark, tmp_path):
     tables.write_boss_kills(kills.repartition(7, "boss_name"), str(tmp_path / "kills"))
     back = tables.read_boss_kills(spark, str(tmp_path / "kills")).orderBy("seq").collect()
     assert [r.boss_name for r in back] == [f"B{i}" for i in range(40)]
+
+
+def test_event_csv_keeps_file_order(spark, tmp_path):
+    folder = tmp_path / "events"
+    folder.mkdir()
+    n = 0
+    for name, rows in (("a.csv", 5), ("b.csv", 400), ("c.csv", 50), ("d.csv", 900)):
+        lines = [f"{n + i},bad,SPELL_DAMAGE,B,T,Bolt,5,5,damage" for i in range(rows)]
+        n += rows
+        head = "combat_id,timestamp,event,player,target,spell_name,amount,effective_amount,type"
+        (folder / name).write_text("\n".join([head, *lines]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000b")
+    try:
+        got = tables.read_events(spark, str(folder)).orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.combat_id for r in got] == list(range(n))
