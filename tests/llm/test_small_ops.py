@@ -322,6 +322,25 @@ def test_ann_recall_and_ties(spark):
     assert hot == list(range(3000, 3020))
 
 
+def test_ann_is_exact_with_a_crowd_of_near_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    n = 16_384
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    crowd = np.arange(n) % 3 == 1
+    x[crowd] = x[1] + 0.1 * rng.normal(size=(crowd.sum(), 64)) / 8
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    got = defaultdict(dict)
+    for r in ann.neighbours(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), every=64).collect():
+        got[r.query_id][r.rank] = r.vec_id
+    assert set(got) == set(range(0, n, 64))
+    d = x.astype(float)
+    for q, found in got.items():
+        s = (d * d[q]).cumsum(axis=1)[:, -1]
+        s[q] = -9
+        assert [found[k] for k in range(1, 21)] == np.lexsort((np.arange(n), -s))[:20].tolist()
+
+
 def test_ann_small_and_empty(spark):
     assert ann.neighbours(vectors(spark, [])).count() == 0
     got = ann.neighbours(vectors(spark, [(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (20, [0.0, 2.0], 0)])).collect()
