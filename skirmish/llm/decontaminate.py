@@ -4,11 +4,16 @@ Words stand between ASCII white space, lose punctuation at both ends and their
 case. Numbers become ``<num>``, units ``<unit>``, capitalised words inside a
 sentence ``<name>``; what a placeholder stands for is kept as its slot. Windows
 of eight such tokens (of all, for shorter items) of the benchmark are matched
-by hash with the windows of every document. Windows with less than half of
-plain words say too little and are left out; an item that has no others cannot
-be found. Matched windows of one item on one alignment are then walked in
-order: all that a slot value of the item stands for must be one value in the
-document and no other slot's value of its type, or the window does not count.
+by hash with the windows of every document. The first word of an item opens a
+sentence there, but may follow other words in a document: with a capital, its
+window is looked for under both readings, as a word and as ``<name>``, and the
+word itself must be the same. Windows with less than half of plain words say
+too little as templates and are left out; an item that has no others is looked
+for by its literal words, in windows of the same width, without placeholders.
+Matched windows of one item on one alignment are then walked in order: plain
+words must be equal, and all that a slot value of the item stands for must be
+one value in the document and no other slot's value of its type, or the window
+does not count.
 An item is found if the windows that count are at least ``SHARE`` of its
 windows. Changed slots mark a re-parameterised question.
 
@@ -39,6 +44,7 @@ PART_BYTES = 16 << 20
 WORD, NUMBER, UNIT, NAME = range(4)
 _EDGE = "!?.,;:\"'()[]{}<>|*#&_-=/\\~`"
 _NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*%?")
+_NAMED = hashes(["<name>"])[0]
 _UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hrs ms hz w kw kwh v a pa bar k c f "
     "meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet "
@@ -63,11 +69,11 @@ def _kinds(vocabulary: list[str]):
 
 
 def _tokens(texts: pa.Array):
-    """(token hashes, kinds, words per text, codes, bare forms)."""
+    """(token hashes, kinds, whether capital, words per text, codes, bare forms)."""
     codes, lengths, vocabulary = words(texts)
     kind, hashed, bare, capital, ends = _kinds(vocabulary)
     if not len(codes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), lengths, codes, bare
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), lengths, codes, bare
     first = np.zeros(len(codes), bool)
     starts = np.cumsum(lengths) - lengths
     first[starts[lengths > 0]] = True
@@ -75,31 +81,53 @@ def _tokens(texts: pa.Array):
     kinds = kind[codes]
     name = capital[codes] & ~opens & (kinds == WORD)
     kinds[name] = NAME
-    return np.where(name, hashes(["<name>"])[0], hashed[codes]), kinds, lengths, codes, bare
+    return np.where(name, _NAMED, hashed[codes]), kinds, capital[codes], lengths, codes, bare
 
 
 def template_windows(items: list[tuple[int, str]]):
-    """Windows of the benchmark: sorted hashes with, for each, (item row, position); and the items."""
-    hashed, kinds, lengths, codes, bare = _tokens(pa.array([t for _, t in items], pa.string()))
+    """Windows of the benchmark: for each width, templates and literal words apart, sorted
+    hashes with (item row, position) of each; and the items."""
+    hashed, kinds, capital, lengths, codes, bare = _tokens(pa.array([t for _, t in items], pa.string()))
     starts = np.cumsum(lengths) - lengths
     entries, sizes = [], np.zeros(len(items), np.int64)
     widths = np.minimum(lengths, WIDTH)
     plain = np.concatenate([[0], np.cumsum(kinds == WORD)])
+    first = np.zeros(len(codes), bool)
+    first[starts[lengths > 0]] = True
+    named = np.where(first & capital & (kinds == WORD), _NAMED, hashed)
     for width in sorted({int(w) for w in widths if w > 0}):
         value, owner, at = windows(hashed, lengths, width, whole_if_shorter=False)
         begin = starts[owner] + at
         good = (widths[owner] == width) & (2 * (plain[begin + width] - plain[begin]) >= width)
         np.add.at(sizes, owner[good], 1)
-        entries.append((width, value[good], owner[good], at[good]))
+        other = windows(named, lengths, width, whole_if_shorter=False)[0]
+        both = good & (other != value)
+        entries.append(
+            (
+                width,
+                False,
+                np.concatenate([value[good], other[both]]),
+                np.concatenate([owner[good], owner[both]]),
+                np.concatenate([at[good], at[both]]),
+            )
+        )
+    # items that no template tells apart
+    mute = sizes == 0
+    literal = hashes(bare)[codes]
+    for width in sorted({int(w) for w in widths[mute] if w > 0}):
+        value, owner, at = windows(literal, lengths, width, whole_if_shorter=False)
+        good = (widths[owner] == width) & mute[owner]
+        np.add.at(sizes, owner[good], 1)
+        entries.append((width, True, value[good], owner[good], at[good]))
     content = [
         [(int(k), bare[c]) for k, c in zip(kinds[s : s + n], codes[s : s + n], strict=True)]
         for s, n in zip(starts, lengths, strict=True)
     ]
     index = []
-    for width, value, owner, at in entries:
+    for width, literal, value, owner, at in entries:
         if len(value):
             order = np.argsort(value, kind="stable")
-            index.append((width, value[order], owner[order], at[order]))
+            index.append((width, literal, value[order], owner[order], at[order]))
     return index, sizes, content, [i for i, _ in items]
 
 
@@ -116,9 +144,12 @@ def _found(matches, sizes, content, names, tokens) -> dict[int, bool]:
             new, fits = {}, True
             for k in range(item_at, item_at + width):
                 kind, value = content[row][k]
+                given = tokens[shift + k]
                 if kind == WORD:
+                    if given != value:
+                        fits = False
+                        break
                     continue
-                given = tokens[shift + k]
                 known = new.get((kind, value), there.get((kind, value)))
                 owner = back.get((kind, given), value)
                 if (known is not None and known != given) or owner != value:
@@ -142,17 +173,18 @@ def _search(index, sizes, content, names):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a bitmap lets nearly all windows of a document pass without a search
         maps = []
-        for _, value, _, _ in index:
+        for _, _, value, _, _ in index:
             seen = np.zeros(1 << 22, bool)
             seen[value >> np.uint64(42)] = True
             maps.append(seen)
         for batch in batches:
             for part in chunks(batch):
-                hashed, _, lengths, codes, bare = _tokens(part.column("text"))
+                hashed, _, _, lengths, codes, bare = _tokens(part.column("text"))
+                exact = hashes(bare)[codes] if any(literal for _, literal, *_ in index) else None
                 starts = np.cumsum(lengths) - lengths
                 hits = defaultdict(list)
-                for (width, value, owner, at), seen in zip(index, maps, strict=True):
-                    run, text, place = windows(hashed, lengths, width, whole_if_shorter=False)
+                for (width, literal, value, owner, at), seen in zip(index, maps, strict=True):
+                    run, text, place = windows(exact if literal else hashed, lengths, width, whole_if_shorter=False)
                     some = seen[run >> np.uint64(42)]
                     run, text, place = run[some], text[some], place[some]
                     lo, hi = np.searchsorted(value, run, "left"), np.searchsorted(value, run, "right")

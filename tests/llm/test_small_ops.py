@@ -372,6 +372,32 @@ def test_decontamination_templates(spark, docs, monkeypatch):
     assert decontaminate.contaminated(docs(rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize(
+    "item",
+    [
+        "What is the capital of France",
+        "Name the long river that runs from the south to the north of Egypt",
+        "12 km 7 kg 30 s",
+        "Paris",
+        "1 Mars 2 Venus 3 Saturn 4 Pluto 5 Jupiter 6 Uranus",
+    ],
+)
+def test_exact_copies_are_found_wherever_they_stand(spark, docs, item):
+    bench = spark.createDataFrame([(5, item)], "item_id int, text string")
+    rows = [
+        (1, f"A heading\n\n{item}"),
+        (2, f"we were asked {item} and went on."),
+        (3, f"It ends. {item}"),
+        (4, item),
+        (6, " ".join(["Berlin", *item.split()[1:]])),
+        (7, f"they said Berlin {' '.join(item.split()[1:-1])} to us 9 cm 8 g 20 h"),
+    ]
+    got = {r.doc_id: (r.item_ids, r.changed_ids) for r in decontaminate.contaminated(docs(rows), bench).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [("5", "")] * 4
+    if len(item.split()) <= 8:  # one window: another first word is another question
+        assert got[6] == ("", "") and got[7] == ("", "")
+
+
 def test_slots_must_agree():
     """One slot value of the item may not stand for two values of the document."""
     item = "Q says Alice met Alice then Alice left Alice home and Alice ate and Alice slept"
