@@ -156,22 +156,27 @@ def cumulative_frames(
         .groupBy(*COMBAT, "source", "frame")
         .agg(F.sum("effective_amount").alias("d"), F.first("span_us").alias("span_us"))
     )
-    sources = per_second.groupBy(*COMBAT, "source").agg(
-        F.sum("d").alias("total"), F.first("span_us").alias("span_us")
-    )
-    top = first_rows(sources, COMBAT, [F.desc("total"), F.col("source")], max_bars)
+    if max_bars is not None:
+        sources = per_second.groupBy(*COMBAT, "source").agg(F.sum("d").alias("total"))
+        top = first_rows(sources, COMBAT, [F.desc("total"), F.col("source")], max_bars)
+        per_second = per_second.join(top.select(*COMBAT, "source"), [*COMBAT, "source"], "left_semi")
     last = F.greatest(F.lit(1), F.ceil(F.col("span_us") / F.lit(step_s * 1_000_000))).cast("bigint")
     if max_frames is not None:
         last = F.least(F.lit(max_frames - 1).cast("bigint"), last)
-    grid = top.select(
-        *COMBAT, "source", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("frame")
-    )
-    so_far = (
-        Window.partitionBy(*COMBAT, "source")
-        .orderBy("frame")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    keys = [*COMBAT, "source", "frame"]
-    return grid.join(per_second.select(*keys, "d"), keys, "left").select(
-        *keys, F.coalesce(F.sum("d").over(so_far), F.lit(0)).alias("damage")
+    # Each row stands until the next one; the first also for the frames before it, at 0.
+    order = Window.partitionBy(*COMBAT, "source").orderBy("frame")
+    begin = F.when(F.lag("frame").over(order).isNull(), F.lit(0)).otherwise(F.col("frame")).cast("bigint")
+    held = per_second.select(
+        *COMBAT,
+        "source",
+        F.col("frame").alias("_from"),
+        begin.alias("_begin"),
+        F.least(F.lead("frame").over(order) - 1, last).alias("_end"),
+        F.coalesce(F.sum("d").over(order), F.lit(0)).alias("_sum"),
+    ).filter("_begin <= _end")
+    return held.select(*COMBAT, "source", "_from", "_sum", F.explode(F.sequence("_begin", "_end")).alias("frame")).select(
+        *COMBAT,
+        "source",
+        "frame",
+        F.when(F.col("frame") < F.col("_from"), 0).otherwise(F.col("_sum")).alias("damage"),
     )

@@ -222,8 +222,22 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
 }
 
 
-def queries() -> dict[str, Query]:
+# Too many rows for a SQL twin to be collected next to them; tested by brute force.
+_LARGE: dict[str, Callable[[_Data], DataFrame]] = {
+    "cumulative_frames_second": lambda d: tm.cumulative_frames(d.ev),
+}
+
+
+def _bound(builds: dict[str, Callable[[_Data], DataFrame]]) -> dict[str, Query]:
     def bind(build: Callable[[_Data], DataFrame]) -> Query:
         return lambda spark, sf_dir: flat(build(_Data(spark, sf_dir)))
 
-    return {name: bind(build) for name, build in _QUERIES.items()}
+    return {name: bind(build) for name, build in builds.items()}
+
+
+def queries() -> dict[str, Query]:
+    return _bound(_QUERIES)
+
+
+def large_queries() -> dict[str, Query]:
+    return _bound(_LARGE)

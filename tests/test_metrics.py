@@ -3,6 +3,7 @@
 import random
 from datetime import timedelta
 
+import __spark_entry__
 import pandas as pd
 from pyspark.sql import functions as F
 from samples import START, events_df
@@ -14,6 +15,7 @@ from skirmish.operators import metrics as mt
 from skirmish.operators import runs as rn
 from skirmish.operators import spells as sp
 from skirmish.operators import timeseries as tm
+from skirmish.plans import adapters as ad
 
 
 def ev(combat, at, source="A", target="T", kind="damage", amount=10, spell="S", zone="Z", event="E", raw=None):
@@ -118,6 +120,23 @@ def test_frames_show_damage_from_its_second_on(spark):
     assert [got["A", t] for t in range(4)] == [5, 5, 12, 12] and got["B", 119] == 1
 
 
+def test_frames_of_every_second_are_registered(spark, tmp_path):
+    """A registered query has a frame for each second, with the damage until then."""
+    rng = random.Random(4)
+    rows = [(i, START.replace(hour=i % 2 * 5 + 1, minute=rng.randrange(9), second=rng.randrange(60), microsecond=rng.randrange(3) * 400_000),
+             rng.randrange(30), rng.choice(["click", "purchase", "view"]), rng.randrange(999) / 100, '{"k": %d}' % rng.randrange(50)) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    hits = [r for r in ad.combat_events(spark, str(tmp_path)).collect()]
+    span = {c: [min(r.ts for r in hits if r.combat_id == c), max(r.ts for r in hits if r.combat_id == c)] for c in {r.combat_id for r in hits}}
+    want = {}
+    for c, s in {(r.combat_id, r.source) for r in hits if r.type == "damage"}:
+        mine = [r for r in hits if (r.combat_id, r.source, r.type) == (c, s, "damage")]
+        for frame in range(max(1, -((span[c][0] - span[c][1]) // timedelta(seconds=1))) + 1):
+            want[c, s, frame] = sum(r.effective_amount for r in mine if r.ts <= span[c][0] + timedelta(seconds=frame))
+    got = __spark_entry__.queries()["cumulative_frames_second"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.combat_id, r.source, r.frame): r.damage for r in got} == want
+
+
 def test_runs_break_on_zone_and_on_gap_after_the_end(spark):
     rows = [ev(1, 0), ev(1, 600), ev(2, 1700), ev(3, 1800, zone="Y"), ev(4, 1900), ev(5, 1900 + 1201), ev(6, 90000), ev(7, 90100)]
     enc = rn.assign_runs(rn.encounter_summary(events_df(spark, rows))).orderBy("combat_id").collect()
