@@ -190,10 +190,117 @@ def pair_encounters(prints: DataFrame, characters: list[str], threshold: float =
     return matched.unionByName(selves).join(labels, ["ref_log_id", "ref_combat_id"])
 
 
+def every_two(prints: DataFrame) -> DataFrame:
+    """comparison, character, place, _n: every two characters, the smaller name first."""
+    names = prints.select("character").distinct()
+    a, b = names.select(F.col("character").alias("a")), names.select(F.col("character").alias("b"))
+    both = a.join(b, F.col("a") < F.col("b")).select(F.to_json(F.array("a", "b")).alias("comparison"), F.array("a", "b").alias("_both"))
+    return both.select("comparison", F.posexplode("_both").alias("place", "character"), F.lit(2).alias("_n"))
+
+
+def _references(prints: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """comparison, ref: of each comparison the character with fewest encounters, the first on ties."""
+    sizes = prints.groupBy("character").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct("n", "place", "character"))["character"]
+    return comparisons.join(sizes, "character").groupBy("comparison").agg(least.alias("ref"))
+
+
+def pair_exact_each(prints: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """pair_exact for every comparison of a table (comparison, character, place, _n), in one pass."""
+    refs = _references(prints, comparisons)
+    order = Window.partitionBy("character", "targets").orderBy("combat_id", "log_id")
+    nth = prints.filter(F.size("targets") > 0).withColumn("nth", F.row_number().over(order))
+    own = F.max(F.when(F.col("character") == F.col("ref"), F.struct("combat_id", "log_id")))
+    groups = (
+        nth.join(comparisons, "character")
+        .join(refs, "comparison")
+        .groupBy("comparison", "targets", "nth", "_n")
+        .agg(F.collect_list(F.struct("character", *COMBAT)).alias("_group"), own.alias("_ref"))
+        .filter(F.size("_group") == F.col("_n"))
+    )
+    return groups.select(
+        "comparison",
+        F.col("_ref.log_id").alias("ref_log_id"),
+        F.col("_ref.combat_id").alias("ref_combat_id"),
+        F.explode("_group").alias("_one"),
+        target_set_label("targets").alias("label"),
+    ).select("comparison", "ref_log_id", "ref_combat_id", "_one.*", "label")
+
+
+def pair_encounters_each(prints: DataFrame, comparisons: DataFrame, threshold: float) -> DataFrame:
+    """pair_encounters for every comparison of a table, the greedy step once for each.
+
+    Two sets that reach the threshold share one of the first targets of each;
+    they meet over the first they share there, once.
+    """
+    refs = _references(prints, comparisons)
+    least = F.greatest(F.lit(1), F.ceil(F.size("targets") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
+    tagged = (
+        prints.filter(F.size("targets") > 0)
+        .withColumn("head", F.slice("targets", F.lit(1), F.size("targets") - least + 1))
+        .join(comparisons, "character")
+        .join(refs, "comparison")
+    )
+    flat = tagged.withColumn("target", F.explode("head"))
+    ref = flat.filter(F.col("character") == F.col("ref")).select(
+        "comparison",
+        "target",
+        F.col("log_id").alias("ref_log_id"),
+        F.col("combat_id").alias("ref_combat_id"),
+        F.col("targets").alias("ref_targets"),
+        F.col("head").alias("ref_head"),
+    )
+    other = flat.filter(F.col("character") != F.col("ref")).drop("ref", "place")
+    shared = F.size(F.array_intersect("ref_targets", "targets"))
+    alike = (
+        ref.join(other, ["comparison", "target"])
+        .filter(F.array_min(F.array_intersect("ref_head", "head")) == F.col("target"))
+        .withColumn("similarity", shared / (F.size("ref_targets") + F.size("targets") - shared))
+        .filter(F.col("similarity") >= threshold)
+        .select("comparison", "_n", "ref_log_id", "ref_combat_id", "character", *COMBAT, "similarity")
+    )
+
+    def pick(pairs: pd.DataFrame) -> pd.DataFrame:
+        n = int(pairs["_n"].iloc[0])
+        # without another character there is no complete group
+        if pairs["character"].nunique() < n - 1:
+            return pairs.iloc[:0][columns]
+        chosen = _assign([""] * n, threshold)(pairs)
+        chosen.insert(0, "comparison", pairs["comparison"].iloc[0])
+        return chosen
+
+    columns = ["comparison", "ref_log_id", "ref_combat_id", "character", *COMBAT]
+    schema = "comparison string, ref_log_id string, ref_combat_id bigint, character string, log_id string, combat_id bigint"
+    matched = cut(alike.groupBy("comparison").applyInPandas(pick, schema))
+    selves = (
+        matched.select("comparison", "ref_log_id", "ref_combat_id")
+        .distinct()
+        .join(refs, "comparison")
+        .select("comparison", "ref_log_id", "ref_combat_id", F.col("ref").alias("character"),
+                F.col("ref_log_id").alias("log_id"), F.col("ref_combat_id").alias("combat_id"))
+    )
+    labels = prints.select(
+        F.col("character").alias("ref"),
+        F.col("log_id").alias("ref_log_id"),
+        F.col("combat_id").alias("ref_combat_id"),
+        target_set_label("targets").alias("label"),
+    ).join(refs, "ref")
+    return matched.unionByName(selves).join(labels.drop("ref"), ["comparison", "ref_log_id", "ref_combat_id"])
+
+
+def pair_table_each(pairs: DataFrame) -> DataFrame:
+    """One row per group of two, the smaller name first."""
+    one = F.struct("character", *COMBAT)
+    rows = pairs.groupBy("comparison", "ref_log_id", "ref_combat_id", "label").agg(F.min(one).alias("a"), F.max(one).alias("b"))
+    sides = [F.col(f"{s}.{c}").alias(f"{c}_{i}") for i, s in ((1, "a"), (2, "b")) for c in ("character", *COMBAT)]
+    return rows.select("comparison", "ref_log_id", "ref_combat_id", "label", *sides)
+
+
 def paired_metrics(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """Rates of every paired encounter, over the time its character was active in it."""
     stats = _source_stats(events).withColumnRenamed("source", "character")
     return pairs.join(stats, ["character", *COMBAT]).select(
+        *[c for c in ("comparison",) if c in pairs.columns],
         "ref_log_id",
         "ref_combat_id",
         short_name("character").alias("character"),

@@ -98,6 +98,14 @@ class _Data:
     def pairs(self) -> DataFrame:
         return cp.pair_exact(cp.fingerprints(self.ev, PAIR), PAIR)
 
+    @cached_property
+    def prints(self) -> DataFrame:
+        return cut(cp.fingerprints(self.ev))
+
+    @property
+    def every_pair(self) -> DataFrame:
+        return cp.pair_exact_each(self.prints, cp.every_two(self.prints))
+
     @property
     def hidden(self) -> DataFrame:
         return mt.in_combat(self.ev).filter("combat_id % 6 = 0").select("combat_id").distinct()
@@ -222,9 +230,14 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
 }
 
 
-# Too many rows for a SQL twin to be collected next to them; tested by brute force.
+# Without SQL twins, tested by brute force: frames of every second are too many
+# rows to be collected; every_* compare every two characters, not only PAIR.
 _LARGE: dict[str, Callable[[_Data], DataFrame]] = {
     "cumulative_frames_second": lambda d: tm.cumulative_frames(d.ev),
+    "every_pair_exact": lambda d: d.every_pair,
+    "every_pair_alike": lambda d: cp.pair_encounters_each(d.prints, cp.every_two(d.prints), 0.5),
+    "every_paired_metrics": lambda d: cp.paired_metrics(d.every_pair, d.ev),
+    "every_pair_table": lambda d: cp.pair_table_each(d.every_pair),
 }
 
 

@@ -191,6 +191,26 @@ def test_pairing_is_the_greedy_one(spark):
             assert got == best_pairs(prints, chars, threshold), (chars, threshold)
 
 
+def test_every_two_characters_are_paired(spark):
+    rng = random.Random(6)
+    prints = {
+        c: {i: frozenset(rng.sample("uvwxyz", rng.randrange(0, 5))) for i in rng.sample(range(100), rng.randrange(8, 14))}
+        for c in "ABCD"
+    }
+    rows = [(c, "main", i, sorted(f)) for c, p in prints.items() for i, f in p.items()]
+    df = spark.createDataFrame(rows, "character string, log_id string, combat_id bigint, targets array<string>")
+    for threshold in (0.3, 0.5, 0.75, 1.0):
+        each = cp.pair_exact_each if threshold == 1.0 else lambda p, t: cp.pair_encounters_each(p, t, threshold)
+        pairs = each(df, cp.every_two(df))
+        got = {(r.comparison, r.ref_combat_id, r.character, r.combat_id) for r in pairs.collect()}
+        want = {
+            (f'["{a}","{b}"]', *g) for a in "ABCD" for b in "ABCD" if a < b for g in best_pairs(prints, [a, b], threshold)
+        }
+        assert got == want and cp.pair_table_each(pairs).count() * 2 == len(want), threshold
+    registered = __spark_entry__.queries()["every_pair_exact"](spark, "/root/testdata/sf0.001")
+    assert registered.select("comparison").distinct().count() > 1
+
+
 def test_source_options_order(spark):
     rows = [ev(c, c, "npc") for c in (1, 2, 3)] + [ev(1, 1, "rare"), ev(1, 1, "Z-R-E"), ev(1, 1, "B-R-E"), ev(1, 1, "")]
     got = [r.source for r in mt.source_options(events_df(spark, rows), include_others=True).collect()]
