@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import ann, decontaminate, line_dedup, mixing, near_dedup, secret_scan, sharding, token_counts, toxicity, warc
+from skirmish.llm import (
+    ann,
+    decontaminate,
+    filter_audit,
+    line_dedup,
+    mixing,
+    near_dedup,
+    secret_scan,
+    sharding,
+    spelling,
+    token_counts,
+    toxicity,
+    warc,
+)
 from skirmish.llm.common import table
 
 
@@ -63,8 +76,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of the documents."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, by part, order of the filters and step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_near_dedup, op4_token_counts, op5_mixing, op6_ann, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_warc)}
+    found = (
+        op1_secret_scan,
+        op2_sharding,
+        op3_near_dedup,
+        op4_token_counts,
+        op5_mixing,
+        op6_ann,
+        op7_decontaminate,
+        op8_line_dedup,
+        op9_toxicity,
+        op10_warc,
+        op11_spelling,
+        op12_filter_audit,
+    )
+    return {f.__name__: f for f in found}
 
 
 _NEAR = r"""
@@ -107,4 +144,10 @@ SELECT page_id, payload_bytes, payload_digest,
 
 
 def sql_twins() -> dict[str, str]:
-    return {"op2_sharding": sharding.sql_twin(), "op3_near_dedup": _NEAR, "op10_warc": _WARC, "op6_ann": ann.sql_twin()}
+    return {
+        "op2_sharding": sharding.sql_twin(),
+        "op3_near_dedup": _NEAR,
+        "op6_ann": ann.sql_twin(),
+        "op10_warc": _WARC,
+        "op12_filter_audit": filter_audit.sql_twin(),
+    }
