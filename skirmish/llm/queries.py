@@ -11,6 +11,7 @@ from skirmish.llm import (
     ann,
     decontaminate,
     filter_audit,
+    html_extract,
     line_dedup,
     mixing,
     near_dedup,
@@ -86,6 +87,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scan,
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_warc,
         op11_spelling,
         op12_filter_audit,
+        op13_html_extract,
     )
     return {f.__name__: f for f in found}
 

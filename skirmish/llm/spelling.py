@@ -49,9 +49,9 @@ SEEN = 2
 TIMES = 10
 SLIP = 31
 # Words of a subtree, which one task holds.
-SUBTREE = 32_768
+SUBTREE = 16_384
 # Words searched at once, and pairs compared at once.
-BLOCK = 4_096
+BLOCK = 2_048
 PAIRS = 1 << 18
 # Letters of the array comparison; longer words are compared one by one.
 WIDE = 64
