@@ -379,6 +379,26 @@ def recent_encounters(
     )
 
 
+def encounter_totals(events: DataFrame) -> DataFrame:
+    """Per encounter what ``recent_encounters`` shows of it, to be kept with the events."""
+    facts = events.filter(F.col("combat_id") != 0).groupBy(*COMBAT).agg(
+        F.min(F.when(is_damage(), F.col("ts"))).alias("begun_ts"),
+        usual_source().alias("player"),
+        bracket_label(seconds(span_us(F.min("ts"), F.max("ts")))).alias("duration"),
+        F.sum(F.when(is_damage(), F.col("effective_amount"))).alias("total_damage"),
+        healing_total().alias("total_heal"),
+    )
+    return facts.join(main_target(events, "damage"), COMBAT, "left").select(
+        *COMBAT,
+        "begun_ts",
+        F.coalesce(short_name("player"), F.lit("")).alias("player"),
+        F.coalesce("main_target", F.lit("")).alias("target"),
+        "duration",
+        "total_damage",
+        "total_heal",
+    )
+
+
 def loaded_encounters(events: DataFrame) -> DataFrame:
     """Number of encounters (combat 0 is none) and the newest id."""
     combats = events.select(*COMBAT).distinct()

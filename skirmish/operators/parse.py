@@ -142,6 +142,11 @@ def parse_raw_events(lines: DataFrame, events: tuple[str, ...] | None = None) ->
     )
 
 
+def event_parts(lines: DataFrame, events: tuple[str, ...]) -> DataFrame:
+    """log_id, seq, event, ts, parts of the lines of these events."""
+    return _tokens(_timed(_headers(lines).filter(F.col("event").isin(*events))))
+
+
 def _spell_layout() -> Column:
     """An absorb row names the absorbed spell, in three more fields, if field 8 is a number."""
     return F.coalesce(F.substr(part(8), F.lit(1), F.lit(1)).between("0", "9"), F.lit(False))

@@ -1,8 +1,9 @@
-"""The import: log files in, event, encounter and boss-kill tables out."""
+"""The import: log files in; event, encounter and boss-kill tables out, under one commit."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skirmish import fixed
 from skirmish.operators.kills import pair_boss_kills
@@ -14,10 +15,14 @@ from skirmish.operators.parse import (
 )
 from skirmish.operators.segment import detect_encounters
 from skirmish.operators.stamp import assign_encounter
-from skirmish.schemas import EVENTS
+from skirmish.operators.metrics import encounter_totals
+from skirmish.schemas import BOSS_KILLS, ENCOUNTERS, EVENTS, TOTALS
 from skirmish.session import cut
+from skirmish.sources import manifest
 from skirmish.sources.logs import read_raw_logs
-from skirmish.sources.tables import write_boss_kills, write_events
+from skirmish.sources.tail import positions, read_span
+
+TABLES = {"events": EVENTS, "encounters": ENCOUNTERS, "totals": TOTALS, "boss_kills": BOSS_KILLS}
 
 
 def encounters_of(lines: DataFrame, timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S) -> DataFrame:
@@ -36,6 +41,27 @@ def stamped_events(lines: DataFrame, encounters: DataFrame) -> DataFrame:
     return events.select(*EVENTS.fieldNames())
 
 
+def import_lines(
+    spark: SparkSession, lines: DataFrame, out: str, timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S
+) -> None:
+    """Replace the tables events, encounters, totals and boss_kills of ``out`` in one commit."""
+    found = cut(encounters_of(lines, timeout_s))
+    events = stamped_events(lines, found)
+    # files of one log and stretch each, so that a log and a range of lines skip the others
+    placed = events.repartition("log_id", F.shiftright("seq", 22)).sortWithinPartitions("log_id", "seq")
+    folder = manifest.add_folder(placed, out, "events")
+    written = spark.read.schema(EVENTS).parquet(f"{out}/{folder}")
+    encounters = found.withColumn("batch", F.lit("import")).select(*ENCOUNTERS.fieldNames())
+    kills = boss_kills_of(lines).select(*BOSS_KILLS.fieldNames())
+    tables = {
+        "events": [folder],
+        "encounters": [manifest.add_folder(encounters, out, "encounters")],
+        "totals": [manifest.add_folder(encounter_totals(written), out, "totals")],
+        "boss_kills": [manifest.add_folder(kills, out, "boss_kills")],
+    }
+    manifest.commit(spark, out, tables, replace=list(tables))
+
+
 def import_logs(
     spark: SparkSession,
     paths: str | list[str],
@@ -43,12 +69,23 @@ def import_logs(
     log_id: str | None = None,
     timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S,
 ) -> None:
-    """Rewrite events/, encounters/ and boss_kills/ below ``out``.
+    """Plain and gzip log files into the tables of ``out``; the text is read once."""
+    import_lines(spark, read_raw_logs(spark, paths, log_id), out, timeout_s)
 
-    The text is read once; the steps read the table of its lines.
+
+def import_followed(
+    spark: SparkSession, source: str, out: str, timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S
+) -> dict[str, list[int]]:
+    """Import the complete lines of logs that still grow; returns where following must begin.
+
+    ``live.follow_logs(..., begin=...)`` then goes on with the next byte and the next id.
     """
-    lines = read_raw_logs(spark, paths, log_id)
-    encounters = cut(encounters_of(lines, timeout_s))
-    encounters.write.mode("overwrite").parquet(f"{out}/encounters")
-    write_events(stamped_events(lines, encounters), f"{out}/events")
-    write_boss_kills(boss_kills_of(lines), f"{out}/boss_kills")
+    reached = positions(source)
+    spans = [(name, number, 0, end) for name, (number, end) in reached.items()]
+    import_lines(spark, read_span(spark, source, spans), out, timeout_s)
+    return reached
+
+
+def imported(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A committed table of ``out``, of imports and of following: events, encounters, totals or boss_kills."""
+    return manifest.read_committed(spark, out, name, TABLES[name])

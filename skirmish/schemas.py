@@ -45,11 +45,8 @@ RAW_LINES = T.StructType(
     ]
 )
 
-# Lines of a followed log; batch is the folder of the micro-batch.
-LANDED_LINES = T.StructType([*RAW_LINES.fields, T.StructField("batch", T.LongType())])
-
-# Encounters of a followed log; batch is the folder of the micro-batch.
-LIVE_ENCOUNTERS = T.StructType(
+# Encounters of imported and followed logs; batch names the writer and its micro-batch.
+ENCOUNTERS = T.StructType(
     [
         T.StructField("log_id", T.StringType()),
         T.StructField("combat_id", T.LongType()),
@@ -64,5 +61,31 @@ LIVE_ENCOUNTERS = T.StructType(
     ]
 )
 
+BOSS_KILLS = T.StructType(
+    [
+        T.StructField("log_id", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("boss_name", T.StringType()),
+        T.StructField("start_ts", T.TimestampType()),
+        T.StructField("end_ts", T.TimestampType()),
+        T.StructField("kill_flag", T.IntegerType()),
+        T.StructField("zone_id", T.IntegerType()),
+    ]
+)
+
+# What the list of recent encounters shows of each.
+TOTALS = T.StructType(
+    [
+        T.StructField("log_id", T.StringType()),
+        T.StructField("combat_id", T.LongType()),
+        T.StructField("begun_ts", T.TimestampType()),
+        T.StructField("player", T.StringType()),
+        T.StructField("target", T.StringType()),
+        T.StructField("duration", T.StringType()),
+        T.StructField("total_damage", T.LongType()),
+        T.StructField("total_heal", T.LongType()),
+    ]
+)
+
 # One encounter within one log.
 COMBAT = ["log_id", "combat_id"]

@@ -6,7 +6,7 @@ import time
 from samples import ME, START, died, events_df, heal, line, mob, spell_hit, zone
 
 from skirmish.operators.runs import assign_runs, encounter_summary, run_roles, runs
-from skirmish.plans.import_logs import import_logs
+from skirmish.plans.import_logs import import_logs, imported
 from skirmish.sources import logs, sidecars, tables
 
 
@@ -117,15 +117,19 @@ def test_import_writes_all_tables(spark, tmp_path):
         f.write("\n".join(second) + "\n")
     out = str(tmp_path / "out")
     import_logs(spark, str(folder), out)
-    events = tables.read_event_table(spark, f"{out}/events")
+    events = imported(spark, out, "events")
     assert [(r.combat_id, r.zone_name, r.type) for r in events.orderBy("seq").collect()] == [
         (1, "Deep", "damage"), (1, "Deep", "heal"), (0, "", "damage"),
     ]
-    kills = tables.read_boss_kills(spark, f"{out}/boss_kills")
+    kills = imported(spark, out, "boss_kills")
     enc = assign_runs(encounter_summary(events))
     healers = spark.createDataFrame([("Mistweaver", 8, None)], "spec string, spell_id bigint, spell_name string")
     run = runs(events, enc, kills, healers).first()
     assert (run.has_boss_kill, run.boss_names, run.run_role, run.run_class) == (True, "Boss", "Healer", "Monk")
+    # a second import takes the place of the first
+    import_logs(spark, str(folder / "Log-010126_200000.txt"), out, "ann")
+    assert [(r.log_id, r.combat_id, r.type) for r in imported(spark, out, "events").collect()] == [("ann", 1, "damage")]
+    assert imported(spark, out, "boss_kills").count() == 0
 
 
 def test_one_healer_spell_marks_the_run(spark):
