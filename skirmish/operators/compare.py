@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +28,10 @@ from skirmish.operators.spells import first_rows, rotation_timeline, spell_ranks
 from skirmish.schemas import COMBAT
 from skirmish.session import cut
 
+# Encounters of the reference that one task takes at once.
+BLOCK = 4_096
+_PAIRED = "comparison string, ref_log_id string, ref_combat_id bigint, character string, log_id string, combat_id bigint"
+
 
 def fingerprints(
     events: DataFrame,
@@ -86,8 +93,7 @@ def pair_exact(prints: DataFrame, characters: list[str]) -> DataFrame:
     """Groups of encounters, one of each character, with equal target sets.
 
     The i-th encounter of a character with some target set pairs with the i-th
-    of every other one. The fingerprints are kept as a table, for they are read
-    several times and small: last_n rows per character.
+    of every other one. The fingerprints are kept as a table, for they are read several times.
     """
     return _pair_exact(cut(prints), characters)
 
@@ -120,74 +126,19 @@ def _pair_exact(prints: DataFrame, characters: list[str]) -> DataFrame:
     )
 
 
-def _assign(characters: list[str], threshold: float):
-    """Greedy pick for each reference encounter: the most alike unused encounter
-    of every other character, all of which must reach the threshold."""
-
-    def pick(pairs: pd.DataFrame) -> pd.DataFrame:
-        best_first = pairs.sort_values(
-            ["ref_combat_id", "ref_log_id", "similarity", "combat_id", "log_id"],
-            ascending=[True, True, False, True, True],
-        )
-        others = set(pairs["character"])
-        used: set = set()
-        chosen = []
-        for ref, candidates in best_first.groupby(["ref_combat_id", "ref_log_id"], sort=False):
-            group = {}
-            for c in candidates.itertuples(index=False):
-                if c.character not in group and (c.character, c.log_id, c.combat_id) not in used:
-                    group[c.character] = c
-            if set(group) == others and len(others) == len(characters) - 1 and all(
-                c.similarity >= threshold for c in group.values()
-            ):
-                used.update((c.character, c.log_id, c.combat_id) for c in group.values())
-                chosen.extend((ref[1], ref[0], c.character, c.log_id, c.combat_id) for c in group.values())
-        return pd.DataFrame(
-            chosen, columns=["ref_log_id", "ref_combat_id", "character", "log_id", "combat_id"]
-        )
-
-    return pick
-
-
 def pair_encounters(prints: DataFrame, characters: list[str], threshold: float = 1.0) -> DataFrame:
     """Groups of encounters whose target sets are alike by Jaccard similarity.
 
-    Candidates meet over a shared target. Fingerprints hold at most last_n
-    encounters per character, so the greedy choice sees a bounded table.
+    Encounters of the character with fewest are taken in the order of their ids; each gets the most
+    alike encounter of every other character that is still unused, if all of these reach the
+    threshold.
     """
     prints = cut(prints)
     if threshold >= 1.0:
         return _pair_exact(prints, characters)
-    ref_name = _reference(prints, characters).scalar()
-    prints = prints.filter(F.col("character").isin(*characters) & (F.size("targets") > 0))
-    tagged = prints.withColumn("size", F.size("targets"))
-    flat = tagged.withColumn("target", F.explode("targets"))
-    ref = flat.filter(F.col("character") == ref_name).select(
-        "target",
-        F.col("log_id").alias("ref_log_id"),
-        F.col("combat_id").alias("ref_combat_id"),
-        F.col("size").alias("ref_size"),
-    )
-    other = flat.filter(F.col("character") != ref_name).select("target", "character", *COMBAT, "size")
-    pair_keys = ["ref_log_id", "ref_combat_id", "character", *COMBAT]
-    shared = ref.join(other, "target").groupBy(*pair_keys, "ref_size", "size").agg(
-        F.count(F.lit(1)).alias("shared")
-    )
-    alike = shared.withColumn(
-        "similarity", F.col("shared") / (F.col("ref_size") + F.col("size") - F.col("shared"))
-    )
-    schema = "ref_log_id string, ref_combat_id bigint, character string, log_id string, combat_id bigint"
-    matched = alike.groupBy().applyInPandas(_assign(characters, threshold), schema)
-    groups = matched.select("ref_log_id", "ref_combat_id").distinct()
-    selves = groups.withColumns(
-        {"character": ref_name, "log_id": F.col("ref_log_id"), "combat_id": F.col("ref_combat_id")}
-    )
-    labels = prints.filter(F.col("character") == ref_name).select(
-        F.col("log_id").alias("ref_log_id"),
-        F.col("combat_id").alias("ref_combat_id"),
-        target_set_label("targets").alias("label"),
-    )
-    return matched.unionByName(selves).join(labels, ["ref_log_id", "ref_combat_id"])
+    one = [("", c, place, len(characters)) for place, c in enumerate(characters)]
+    comparison = prints.sparkSession.createDataFrame(one, "comparison string, character string, place int, _n int")
+    return pair_encounters_each(prints, F.broadcast(comparison), threshold).drop("comparison")
 
 
 def every_two(prints: DataFrame) -> DataFrame:
@@ -227,65 +178,122 @@ def pair_exact_each(prints: DataFrame, comparisons: DataFrame) -> DataFrame:
     ).select("comparison", "ref_log_id", "ref_combat_id", "_one.*", "label")
 
 
-def pair_encounters_each(prints: DataFrame, comparisons: DataFrame, threshold: float) -> DataFrame:
-    """pair_encounters for every comparison of a table, the greedy step once for each.
+def _alike_sets(prints: DataFrame, comparisons: DataFrame, refs: DataFrame, threshold: float) -> DataFrame:
+    """comparison, ref_targets, character, targets, similarity: sets of the reference and of another that reach the threshold.
 
-    Two sets that reach the threshold share one of the first targets of each;
-    they meet over the first they share there, once.
+    Equal sets of a character are one row here. Two sets that reach the threshold share one of the first
+    targets of each; they meet over the first they share there, once.
     """
-    refs = _references(prints, comparisons)
     least = F.greatest(F.lit(1), F.ceil(F.size("targets") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
-    tagged = (
+    sets = (
         prints.filter(F.size("targets") > 0)
+        .select("character", "targets")
+        .distinct()
         .withColumn("head", F.slice("targets", F.lit(1), F.size("targets") - least + 1))
         .join(comparisons, "character")
         .join(refs, "comparison")
     )
-    flat = tagged.withColumn("target", F.explode("head"))
+    flat = sets.withColumn("target", F.explode("head"))
     ref = flat.filter(F.col("character") == F.col("ref")).select(
-        "comparison",
-        "target",
-        F.col("log_id").alias("ref_log_id"),
-        F.col("combat_id").alias("ref_combat_id"),
-        F.col("targets").alias("ref_targets"),
-        F.col("head").alias("ref_head"),
+        "comparison", "target", F.col("targets").alias("ref_targets"), F.col("head").alias("ref_head")
     )
-    other = flat.filter(F.col("character") != F.col("ref")).drop("ref", "place")
+    other = flat.filter(F.col("character") != F.col("ref")).drop("ref", "place", "_n")
     shared = F.size(F.array_intersect("ref_targets", "targets"))
-    alike = (
+    return (
         ref.join(other, ["comparison", "target"])
         .filter(F.array_min(F.array_intersect("ref_head", "head")) == F.col("target"))
         .withColumn("similarity", shared / (F.size("ref_targets") + F.size("targets") - shared))
         .filter(F.col("similarity") >= threshold)
-        .select("comparison", "_n", "ref_log_id", "ref_combat_id", "character", *COMBAT, "similarity")
+        .select("comparison", "ref_targets", "character", "targets", "similarity")
     )
 
-    def pick(pairs: pd.DataFrame) -> pd.DataFrame:
-        n = int(pairs["_n"].iloc[0])
-        # without another character there is no complete group
-        if pairs["character"].nunique() < n - 1:
-            return pairs.iloc[:0][columns]
-        chosen = _assign([""] * n, threshold)(pairs)
-        chosen.insert(0, "comparison", pairs["comparison"].iloc[0])
-        return chosen
-
-    columns = ["comparison", "ref_log_id", "ref_combat_id", "character", *COMBAT]
-    schema = "comparison string, ref_log_id string, ref_combat_id bigint, character string, log_id string, combat_id bigint"
-    matched = cut(alike.groupBy("comparison").applyInPandas(pick, schema))
-    selves = (
-        matched.select("comparison", "ref_log_id", "ref_combat_id")
-        .distinct()
-        .join(refs, "comparison")
-        .select("comparison", "ref_log_id", "ref_combat_id", F.col("ref").alias("character"),
-                F.col("ref_log_id").alias("log_id"), F.col("ref_combat_id").alias("combat_id"))
+
+def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
+    """One block of a comparison: its encounters of the reference, the sets alike, and what is left of these sets."""
+    n = int(rows["_n"].iloc[0])
+    kinds = dict(tuple(rows.groupby("kind")))
+    stock: dict[tuple, deque] = defaultdict(deque)
+    for r in kinds.get("one", rows[:0]).sort_values(["combat_id", "log_id"]).itertuples(index=False):
+        stock[r.character, r.set].append((r.combat_id, r.log_id))
+    wanted = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
+    for r in kinds.get("alike", rows[:0]).itertuples(index=False):
+        wanted[r.ref_set][r.character][-r.similarity].append((r.character, r.set))
+    chosen = []
+    for ref in kinds["ref"].sort_values(["combat_id", "log_id"]).itertuples(index=False):
+        group = []
+        for levels in wanted[ref.ref_set].values():
+            # the most alike sets with anything left, and of these the least encounter
+            for level in sorted(levels):
+                heads = [(stock[key][0], key) for key in levels[level] if stock[key]]
+                if heads:
+                    group.append(min(heads))
+                    break
+        if len(group) == n - 1:
+            for one, key in group:
+                stock[key].popleft()
+                chosen.append((ref.comparison, ref.log_id, ref.combat_id, key[0], one[1], one[0]))
+    return pd.DataFrame(chosen, columns=[f.split()[0] for f in _PAIRED.split(", ")])
+
+
+def pair_encounters_each(
+    prints: DataFrame, comparisons: DataFrame, threshold: float, block: int = BLOCK
+) -> DataFrame:
+    """pair_encounters for every comparison of a table (comparison, character, place, _n), side by side.
+
+    The choice depends on the order of the reference's encounters, so each comparison goes through them
+    in blocks of ``block``. A task holds one block of one comparison: its encounters, the target sets
+    alike with theirs, and of each such set the first ``block`` encounters not used before, for more cannot
+    be taken. Equal sets are compared once.
+    """
+    refs = cut(_references(prints, comparisons))
+    rows = prints.filter(F.size("targets") > 0).join(comparisons, "character").join(refs, "comparison")
+    rows = cut(rows.select("comparison", "_n", "character", "ref", "targets", *COMBAT))
+    in_order = Window.partitionBy("comparison").orderBy("combat_id", "log_id")
+    own = cut(
+        rows.filter(F.col("character") == F.col("ref"))
+        .withColumn("_block", F.floor((F.row_number().over(in_order) - 1) / block))
+        .withColumnRenamed("targets", "ref_targets")
     )
-    labels = prints.select(
-        F.col("character").alias("ref"),
+    left = rows.filter(F.col("character") != F.col("ref"))
+    alike = cut(_alike_sets(prints, comparisons, refs, threshold))
+    matched = None
+    for number in range((own.agg(F.max("_block")).first()[0] or 0) + 1):
+        now = own.filter(F.col("_block") == number)
+        sets = now.select("comparison", "_n", "ref_targets").distinct().join(alike, ["comparison", "ref_targets"])
+        used = ["comparison", "character", *COMBAT]
+        free = left if matched is None else left.join(matched.select(*used), used, "left_anti")
+        first = Window.partitionBy("comparison", "character", "targets").orderBy("combat_id", "log_id")
+        free = free.join(sets.select("comparison", "character", "targets"), ["comparison", "character", "targets"], "left_semi")
+        free = free.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= block)
+        name = F.to_json("targets").alias("set")
+        of_ref = F.to_json("ref_targets").alias("ref_set")
+        parts = [
+            now.select(F.lit("ref").alias("kind"), "comparison", "_n", of_ref, *COMBAT),
+            sets.select(F.lit("alike").alias("kind"), "comparison", "_n", of_ref, name, "character", "similarity"),
+            free.select(F.lit("one").alias("kind"), "comparison", "_n", name, "character", *COMBAT),
+        ]
+        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        # only blocks with an encounter of the reference have anything to choose
+        chosen = cut(whole.groupBy("comparison").applyInPandas(_greedy, _PAIRED))
+        matched = chosen if matched is None else matched.unionByName(chosen)
+    selves = matched.select("comparison", "ref_log_id", "ref_combat_id").distinct().join(refs, "comparison")
+    both = matched.unionByName(
+        selves.select(
+            "comparison",
+            "ref_log_id",
+            "ref_combat_id",
+            F.col("ref").alias("character"),
+            F.col("ref_log_id").alias("log_id"),
+            F.col("ref_combat_id").alias("combat_id"),
+        )
+    )
+    labels = own.select(
+        "comparison",
         F.col("log_id").alias("ref_log_id"),
         F.col("combat_id").alias("ref_combat_id"),
-        target_set_label("targets").alias("label"),
-    ).join(refs, "ref")
-    return matched.unionByName(selves).join(labels.drop("ref"), ["comparison", "ref_log_id", "ref_combat_id"])
+        target_set_label("ref_targets").alias("label"),
+    )
+    return both.join(labels, ["comparison", "ref_log_id", "ref_combat_id"])
 
 
 def pair_table_each(pairs: DataFrame) -> DataFrame:

@@ -198,6 +198,9 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     "pair_alike": lambda d: cp.pair_encounters(cp.fingerprints(d.ev, PAIR), PAIR, 0.5),
     "paired_metrics": lambda d: cp.paired_metrics(d.pairs, d.ev),
     "pair_table": lambda d: cp.pair_table(d.pairs, PAIR),
+    "every_pair_exact": lambda d: d.every_pair,
+    "every_paired_metrics": lambda d: cp.paired_metrics(d.every_pair, d.ev),
+    "every_pair_table": lambda d: cp.pair_table_each(d.every_pair),
     "boss_encounters": lambda d: d.boss,
     "boss_list": lambda d: cp.boss_list(d.boss),
     "kill_overview": lambda d: cp.kill_overview(d.boss),
@@ -230,14 +233,11 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
 }
 
 
-# Without SQL twins, tested by brute force: frames of every second are too many
-# rows to be collected; every_* compare every two characters, not only PAIR.
+# Without SQL twins, tested by brute force: frames of every second are too many rows to be collected,
+# and the greedy choice of every two characters takes SQL a recursion per encounter.
 _LARGE: dict[str, Callable[[_Data], DataFrame]] = {
     "cumulative_frames_second": lambda d: tm.cumulative_frames(d.ev),
-    "every_pair_exact": lambda d: d.every_pair,
     "every_pair_alike": lambda d: cp.pair_encounters_each(d.prints, cp.every_two(d.prints), 0.5),
-    "every_paired_metrics": lambda d: cp.paired_metrics(d.every_pair, d.ev),
-    "every_pair_table": lambda d: cp.pair_table_each(d.every_pair),
 }
 
 

@@ -197,6 +197,20 @@ pairs AS (SELECT r.combat_id AS ref_combat_id, c.character, c.log_id, c.combat_i
   FROM nth c JOIN nth r ON c.targets = r.targets AND c.n = r.n AND r.character = (
     SELECT character FROM prints WHERE character IN ('P0-Realm-EU', 'P2-Realm-EU') GROUP BY character ORDER BY count(*), character LIMIT 1)
   WHERE (SELECT count(*) FROM nth x WHERE x.targets = c.targets AND x.n = c.n) = 2)""",
+    "sizes": """
+sizes AS (SELECT character, count(*) AS n FROM prints GROUP BY character)""",
+    "every_nth": """
+every_nth AS (SELECT *, row_number() OVER (PARTITION BY character, targets ORDER BY combat_id) AS n FROM prints
+  WHERE targets <> '')""",
+    "every_pairs": """
+every_pairs AS (SELECT comparison, ref_combat_id, unnest([a, b]) AS character, 'main' AS log_id, unnest([a_id, b_id]) AS combat_id, label FROM (
+  SELECT '["' || x.character || '","' || y.character || '"]' AS comparison, x.character AS a, y.character AS b,
+    x.combat_id AS a_id, y.combat_id AS b_id,
+    CASE WHEN p.n <= q.n THEN x.combat_id ELSE y.combat_id END AS ref_combat_id,
+    array_to_string(list_slice(string_split(x.targets, ','), 1, 4), ', ')
+      || CASE WHEN len(string_split(x.targets, ',')) > 4 THEN ' +' || (len(string_split(x.targets, ',')) - 4) ELSE '' END AS label
+  FROM every_nth x JOIN every_nth y ON x.targets = y.targets AND x.n = y.n AND x.character < y.character
+    JOIN sizes p ON p.character = x.character JOIN sizes q ON q.character = y.character))""",
     "places": """
 places AS (SELECT spell_name, row_number() OVER (ORDER BY place, spell_name) AS position FROM (
   SELECT spell_name, min(CASE WHEN combat_id = (SELECT max(combat_id) FROM ev ) THEN 0 ELSE 1000000 END + spell_rank) AS place
@@ -627,6 +641,23 @@ FROM pairs p JOIN per_source s ON s.source = p.character AND s.log_id = p.log_id
   max(combat_id) FILTER (character = 'P2-Realm-EU') AS "P2-Realm-EU" FROM pairs GROUP BY ref_combat_id, label""",
         "",
     ),
+    "every_pair_exact": (
+        """SELECT comparison, 'main' AS ref_log_id, ref_combat_id, character, log_id, combat_id, label FROM every_pairs """,
+        "",
+    ),
+    "every_paired_metrics": (
+        f"""SELECT comparison, 'main' AS ref_log_id, ref_combat_id, split_part(character, '-', 1) AS character, p.log_id, p.combat_id, label,
+  {_rate('dmg', 'dur')} AS dps, {_rate('heal', 'dur')} AS hps, dur AS duration_s
+FROM every_pairs p JOIN per_source s ON s.source = p.character AND s.log_id = p.log_id AND s.combat_id = p.combat_id""",
+        "dps hps duration_s",
+    ),
+    "every_pair_table": (
+        """SELECT comparison, 'main' AS ref_log_id, ref_combat_id, label,
+  min(character) AS character_1, 'main' AS log_id_1, arg_min(combat_id, character) AS combat_id_1,
+  max(character) AS character_2, 'main' AS log_id_2, arg_max(combat_id, character) AS combat_id_2
+FROM every_pairs GROUP BY comparison, ref_combat_id, label""",
+        "",
+    ),
     "boss_encounters": (
         "SELECT * RENAME (start_us AS start_ts, end_us AS end_ts) FROM boss ",
         "duration_s dps hps",

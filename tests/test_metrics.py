@@ -189,6 +189,11 @@ def test_pairing_is_the_greedy_one(spark):
             df = spark.createDataFrame(rows, "character string, log_id string, combat_id bigint, targets array<string>")
             got = {(r.ref_combat_id, r.character, r.combat_id) for r in cp.pair_encounters(df, chars, threshold).collect()}
             assert got == best_pairs(prints, chars, threshold), (chars, threshold)
+            if threshold < 1:  # blocks of few encounters give the same
+                one = [("", c, place, len(chars)) for place, c in enumerate(chars)]
+                comparison = spark.createDataFrame(one, "comparison string, character string, place int, _n int")
+                small = cp.pair_encounters_each(df, comparison, threshold, block=3).collect()
+                assert {(r.ref_combat_id, r.character, r.combat_id) for r in small} == got
 
 
 def test_every_two_characters_are_paired(spark):
