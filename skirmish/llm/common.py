@@ -32,6 +32,27 @@ def released(df: DataFrame) -> DataFrame:
     return table_
 
 
+class Tables:
+    """Tables written on the way to a result, which their owner removes once they have been read."""
+
+    def __init__(self):
+        self._written: list[DataFrame] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self._written.append(released(df))
+        return self._written[-1]
+
+    def remove(self, keep: tuple[DataFrame, ...] = ()) -> None:
+        """Delete the folders of all tables but those to keep."""
+        going = [t for t in self._written if not any(t is k for k in keep)]
+        self._written = [t for t in self._written if any(t is k for k in keep)]
+        for table_ in going:
+            spark = table_.sparkSession
+            for file in table_.inputFiles()[:1]:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about CHUNK_BYTES of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

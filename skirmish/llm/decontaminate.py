@@ -243,7 +243,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None)
         )
     merged = (
         reduce(DataFrame.unionByName, hits)
-        .dropDuplicates(["row", "items"])
+        .distinct()
         .groupBy("row")
         .agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),

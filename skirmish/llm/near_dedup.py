@@ -17,8 +17,8 @@ instead of one per coordinate. Weights are 1 by default (sets); with
 Candidates come from shared bands and are all compared exactly:
 
 * every text with up to three leaders of its buckets (the text with most bucket
-  mates, two by hash), which joins up a large group at the cost of three
-  comparisons a member;
+  mates, two by hash), one after the other as long as they are not joined, which
+  joins up a large group at the cost of about one comparison a member;
 * then all texts that share a bucket but no component so far: as pairs in small
   buckets, in large ones block against block, where only links that join
   components come back.
@@ -40,8 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import chunks, components, hashes, mix, released, windows, words
-from skirmish.session import cut
+from skirmish.llm.common import Tables, chunks, components, hashes, mix, windows, words
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -290,22 +289,40 @@ def _labels(links: DataFrame) -> DataFrame:
     return far.groupBy("node").agg(F.least(F.col("node"), F.min("comp"), F.min("other")).alias("comp"))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    width: int = WIDTH,
-    bands: int = BANDS,
-    rows: int = ROWS,
-    weighted: bool = False,
-) -> DataFrame:
-    """doc_id, class_id, class_rows of every row of ``docs`` (doc_id, text)."""
-    sig = cut(signed(docs, width, bands, rows, weighted))
+def _leader_links(first: DataFrame, texts: DataFrame, threshold: float, tables: Tables) -> DataFrame:
+    """Links of texts with their leaders, one kind after the other.
+
+    A text that a former kind has put into its leader's component is not compared again: its runs
+    travel once for most texts.
+    """
+    links = None
+    for kind in range(3):
+        pairs = first.where(F.col("kind") == kind).drop("kind").distinct()
+        if links is not None:
+            comp = tables.cut(_labels(links))
+            for side in "ab":
+                own = comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
+                pairs = pairs.join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+            pairs = pairs.where("ca <> cb").drop("ca", "cb")
+        found = tables.cut(_links(pairs, texts, threshold))
+        links = found if links is None else links.unionByName(found)
+    return links
+
+
+def _classes(
+    docs: DataFrame, threshold: float, width: int, bands: int, rows: int, weighted: bool, tables: Tables
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node of every row), and (node, class_id, class_rows, first) of every text.
+
+    first: (doc_id, node) of the row that stands for the class; a missing doc_id comes last.
+    """
+    sig = tables.cut(signed(docs, width, bands, rows, weighted))
     # one entry per (bucket, node); copies meet in the partial aggregation
     entries = (
         sig.select("node", "n", F.explode("bands").alias("key")).groupBy("key", "node").agg(F.max("n").alias("n"))
     )
     crowds = entries.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    shared = released(entries.join(crowds, "key"))
+    shared = tables.cut(entries.join(crowds, "key"))
 
     mates = shared.groupBy("node").agg(F.sum("crowd").alias("mates"))
     ranked = shared.join(mates, "node")
@@ -326,17 +343,21 @@ def near_duplicates(
         .groupBy("node", "n", "kind")
         .agg(F.max_by("leader", F.struct("times", "leader.node")).alias("leader"))
     )
-    first = best.select(
-        F.least("node", "leader.node").alias("a"),
-        F.greatest("node", "leader.node").alias("b"),
-        F.when(F.col("node") < F.col("leader.node"), F.col("n")).otherwise(F.col("leader.n")).alias("na"),
-        F.when(F.col("node") < F.col("leader.node"), F.col("leader.n")).otherwise(F.col("n")).alias("nb"),
-    ).distinct()
+    before = F.col("node") < F.col("leader.node")
+    first = tables.cut(
+        best.select(
+            "kind",
+            F.least("node", "leader.node").alias("a"),
+            F.greatest("node", "leader.node").alias("b"),
+            F.when(before, F.col("n")).otherwise(F.col("leader.n")).alias("na"),
+            F.when(before, F.col("leader.n")).otherwise(F.col("n")).alias("nb"),
+        )
+    )
     bucketed = shared.select("node").distinct()
-    texts = released(
+    texts = tables.cut(
         sig.select("node", "runs").join(bucketed, "node", "left_semi").groupBy("node").agg(F.first("runs").alias("runs"))
     )
-    links = released(_links(first, texts, threshold))
+    links = _leader_links(first, texts, threshold, tables)
 
     # every pair that shares a bucket across components is compared
     placed = shared.join(_labels(links), "node", "left").select(
@@ -348,7 +369,7 @@ def near_duplicates(
         .where("lo <> hi")
         .select("key", "m", _blocks(F.col("m"), F.col("load")).alias("blocks"))
     )
-    open_ = cut(placed.join(mixed, "key"))
+    open_ = tables.cut(placed.join(mixed, "key"))
     few = open_.where(F.col("m") <= FEW)
     second = (
         few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
@@ -358,39 +379,71 @@ def near_duplicates(
         .select("a", "b", "na", "nb")
         .distinct()
     )
-    more = cut(
+    more = tables.cut(
         _links(second, texts, threshold).unionByName(
             _block_links(open_.where(F.col("m") > FEW), texts, threshold)
         )
     )
     comp = components(links.unionByName(more))
 
-    nodes = (
+    nodes = tables.cut(
         sig.groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
         .join(comp.withColumnRenamed("id", "node"), "node", "left")
         .withColumn("comp", F.coalesce("comp", "node"))
     )
-    nodes = cut(nodes)
+    tables.remove(keep=(sig, nodes))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
     classes = nodes.groupBy("comp").agg(
-        F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_rows")
+        F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_rows"), least.alias("first")
     )
-    members = nodes.select("node", "comp").join(classes, "comp").select("node", "class_id", "class_rows")
-    return sig.select("doc_id", "node").join(members, "node").select("doc_id", "class_id", "class_rows")
+    members = nodes.select("node", "comp").join(classes, "comp").select("node", "class_id", "class_rows", "first")
+    return sig.select("doc_id", "node"), members
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each class, with all its columns: that with the least doc_id.
+def near_duplicates(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    width: int = WIDTH,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    weighted: bool = False,
+) -> DataFrame:
+    """doc_id, class_id, class_rows of every row of ``docs`` (doc_id, text)."""
+    named, members = _classes(docs, threshold, width, bands, rows, weighted, Tables())
+    return named.join(members, "node").select("doc_id", "class_id", "class_rows")
+
+
+def keep_one(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    width: int = WIDTH,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    weighted: bool = False,
+) -> DataFrame:
+    """One row of each class, with all its columns: that with the least doc_id.
 
-    Of repeated rows of that doc_id any one stays. Rows without a doc_id stay.
+    Rows are told apart by doc_id and text. If that doc_id has several texts of the class, the one of
+    least hash stays; of repeated rows any one stays. Rows without a doc_id stay.
     """
-    found = cut(near_duplicates(docs, **settings))
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    rows = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    twice = cut(rows.where("rows > 1").select("doc_id"))
+    tables = Tables()
+    named, members = _classes(docs, threshold, width, bands, rows, weighted, tables)
+    stands = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    named = named.where("doc_id IS NOT NULL").join(members, "node")
+    found = tables.cut(named.select("doc_id", "node", stands.alias("stays")))
+    tables.remove(keep=(found,))
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    marked = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node")).alias("d")
+    gone = found.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")).distinct()
+    same = (F.col("d.doc_id").cast("long") == F.col("_id")) & (F.col("d._node") == F.col("_gone"))
+    kept = marked.join(gone, same, "left_anti")
+    twice = tables.cut(
+        found.where("stays").groupBy("doc_id", "node").count().where("count > 1")
+        .select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone"))
+    )
     if twice.isEmpty():  # the usual case: no second pass over the texts
-        return kept.select(*[f"`{c}`" for c in docs.columns])
-    once = kept.join(twice, "doc_id", "left_anti")
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(*[f"`{c}`" for c in docs.columns])
+        return kept.select(*columns)
+    once = kept.join(twice, same, "left_anti").select(*columns)
+    again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_node"])
+    return once.unionByName(again.select(*columns))

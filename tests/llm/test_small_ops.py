@@ -191,6 +191,27 @@ def test_keep_one_keeps_columns_and_one_row(spark, docs):
     assert near_dedup.keep_one(docs([])).count() == 0
 
 
+def test_keep_one_where_an_id_has_several_texts(spark, docs):
+    rows = [
+        (0, "a b c d e f"),
+        (1, "a b c d e f"),
+        (1, "a wholly other text of some words"),
+        (2, "p q r s t u"),
+        (2, "second unique text with its words"),
+        (3, "p q r s t u"),
+        (3, "p q r s t u"),
+        (4, LONG),
+        (4, LONG + " end"),
+        (None, "a b c d e f"),
+        (None, "only without an id here now"),
+        (None, "only without an id here now"),
+    ]
+    got = [(r.doc_id, r.text) for r in near_dedup.keep_one(docs(rows, extra=True)).collect()]
+    long = [g for g in got if g[0] == 4]
+    assert len(long) == 1
+    assert Counter(g for g in got if g[0] != 4) == Counter([rows[0], *rows[2:5], *rows[9:]])
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(1, 2**63, 360).astype(np.uint64)
@@ -350,6 +371,18 @@ def test_ann_small_and_empty(spark):
 # --- decontamination -------------------------------------------------------------------------
 
 
+def test_items_of_one_id_in_several_parts(spark, docs, monkeypatch):
+    """One item is there as it is, one with other numbers: the answer does not depend on the parts."""
+    words = "the tall engine of the old mill turned slowly for"
+    items = spark.createDataFrame([(9, f"{words} 40 days"), (9, "a green boat left the quiet harbour before dawn with its crew")], "item_id long, text string")
+    rows = docs([(1, f"so {words} 77 days and a green boat left the quiet harbour before dawn with its crew"), (2, "none of it")])
+    seen = set()
+    for size in (decontaminate.PART_BYTES, 90, 60, 40, 20):
+        monkeypatch.setattr(decontaminate, "PART_BYTES", size)
+        seen.add(tuple(sorted(tuple(r) for r in decontaminate.contaminated(rows, items).collect())))
+    assert seen == {((1, True, "9", "9"), (2, False, "", ""))}
+
+
 def test_decontamination_templates(spark, docs, monkeypatch):
     item = "zero Alice has 12 apples and Alice buys 5 km of long rope from the old shop today"
     bench = spark.createDataFrame([(9, item), (8, None), (7, ""), (None, item), (6, "Tiny four word item")], "item_id int, text string")
