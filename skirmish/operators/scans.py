@@ -36,8 +36,8 @@ def running(
 ) -> DataFrame:
     """Running values over ``order`` within ``keys``.
 
-    outputs: name to ("sum" | "last", column); "last" skips nulls. With
-    ``before`` the row itself is left out. ``block`` must not decrease along
+    outputs: name to ("sum" | "max" | "last", column); "max" and "last" skip nulls.
+    With ``before`` the row itself is left out. ``block`` must not decrease along
     ``order``.
     """
     rows = df.withColumn("_block", block)
@@ -63,6 +63,11 @@ def running(
             merged[name] = F.coalesce(F.col(f"_carry_{name}"), F.lit(0)) + F.coalesce(
                 F.col(f"_at_{name}"), F.lit(0)
             )
+        elif kind == "max":
+            local[f"_at_{name}"] = F.max(value).over(here)
+            totals.append(F.max(value).alias(f"_all_{name}"))
+            carried.append(F.max(f"_all_{name}").over(earlier).alias(f"_carry_{name}"))
+            merged[name] = F.greatest(F.col(f"_carry_{name}"), F.col(f"_at_{name}"))
         elif kind == "last":
             local[f"_at_{name}"] = F.last(value, ignorenulls=True).over(here)
             totals.append(

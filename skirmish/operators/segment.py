@@ -5,10 +5,12 @@ when every enemy it met is dead, when a player dies, or when more than the
 timeout passes without hostile activity; then it ends at the last such moment.
 Hits on a unit that has died before do not count.
 
-What is read in full, the lines, is only filtered, counted in blocks and
-condensed with map-side combine. The part that must go row by row sees one row
-per death and per timeout slot, and starts afresh wherever the log was quiet
-for longer than the timeout, so quiet gaps bound its parts.
+A unit is part of a fight from its first hit to its death, and a fight is open while
+any of its units lives. So between two cuts, quiet gaps or deaths of players,
+encounters are unions of the spans of units: a running maximum finds them. All of it
+is windows over blocks of lines and map-side combined sums; no log is one task.
+Only logs whose clock runs backwards go through the rule row by row, in parts that
+start afresh wherever the log was quiet for longer than the timeout.
 """
 
 from __future__ import annotations
@@ -172,16 +174,119 @@ def _with_laps(counted: DataFrame) -> DataFrame:
     )
 
 
-def encounter_intervals(hostile: DataFrame, timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S) -> DataFrame:
-    """Encounters without ids and zones, from ``hostile_rows``."""
-    timeout_us = int(round(timeout_s * 1_000_000))
-    # Parsed once: what follows reads these narrow rows, not the log text.
-    counted = _with_laps(cut(_counted(cut(hostile))))
+def _active(rows: DataFrame) -> DataFrame:
+    """Hits on living units, the deaths of units met before, and deaths of players (``fell``)."""
+    hit, died = F.col("kind") == HITS, F.col("kind") == DEATH
+    units = cut(
+        rows.groupBy("log_id", "guid").agg(
+            F.min(F.when(hit, F.col("seq"))).alias("_met"), F.min(F.when(died, F.col("seq"))).alias("_died")
+        )
+    )
+    alive = F.col("_died").isNull() | (F.col("seq") < F.col("_died"))
+    met = F.coalesce(F.col("_met") < F.col("_died"), F.lit(False))
+    fell = died & F.col("is_player") & ~met
+    kept = (hit & alive) | (died & met & (F.col("seq") == F.col("_died"))) | fell
+    return rows.join(units, ["log_id", "guid"]).filter(kept).select("log_id", "seq", "us", "kind", "guid", fell.alias("fell"))
+
+
+def _parts(active: DataFrame, timeout_us: int) -> DataFrame:
+    """Number the parts of each log: nothing outlasts a quiet gap or a player's death.
+
+    A unit's death that lies in a later part than its last hit finds no fight with that unit; it
+    counts for nothing, not even as a sign of life, so the parts are cut again without it. Where
+    no such death is left, every row counts and no other cut exists.
+    """
+    hit, died = F.col("kind") == HITS, F.col("kind") == DEATH
+    while True:
+        parts = cut(
+            sessions(
+                active,
+                ["log_id"],
+                seq_block(),
+                ["seq"],
+                ["us", "fell"],
+                lambda prev, now: prev["fell"] | (now["us"] - prev["us"] > timeout_us),
+                "part",
+            )
+        )
+        last = parts.filter("NOT fell").groupBy("log_id", "guid").agg(
+            F.max(F.when(hit, F.col("part"))).alias("_hit"), F.max(F.when(died, F.col("part"))).alias("_died")
+        )
+        stale = cut(last.filter("_died > _hit").select("log_id", "guid", F.lit(DEATH).alias("kind")))
+        if stale.isEmpty():
+            return parts
+        active = parts.drop("part").join(stale, ["log_id", "guid", "kind"], "left_anti")
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """Encounters of parts: units that live at the same time, from first hit to death, belong together.
+
+    A fight is open while any unit it met lives, so encounters are the unions of these spans. The
+    latest end of all spans before decides where one begins; it runs over blocks in parallel.
+    """
+    hit, died = F.col("kind") == HITS, F.col("kind") == DEATH
+    at = F.struct("seq", "us")
+    spans = parts.filter("NOT fell").groupBy("log_id", "part", "guid").agg(
+        F.min(F.when(hit, at)).alias("head"), F.max(F.when(died, at)).alias("dead")
+    )
+    spans = cut(spans.withColumn("_from", F.col("head.seq")))
+    keys, block = ["log_id", "part"], seq_block("_from")
+    reach = F.coalesce("dead.seq", F.lit((1 << 63) - 1))
+    spans = running(spans, keys, block, ["_from"], {"_reach": ("max", reach)}, before=True)
+    opens = F.when(F.col("_reach").isNull() | (F.col("_from") > F.col("_reach")), F.col("_from"))
+    spans = running(spans, keys, block, ["_from"], {"open_seq": ("last", opens)})
+    found = spans.groupBy(*keys, "open_seq").agg(
+        F.min("head").alias("head"),
+        F.max("dead").alias("dead"),
+        F.max(F.col("dead").isNull()).alias("_open"),
+        F.array_sort(F.collect_set("guid")).alias("enemy_guids"),
+    )
+    ends = parts.groupBy(*keys).agg(
+        F.max(F.when(~F.col("fell"), at)).alias("tail"), F.max(F.when(F.col("fell"), F.col("us"))).alias("fell_us")
+    )
+    fell = F.col("fell_us").isNotNull()
+    end = F.when(~F.col("_open"), F.col("dead.us")).when(fell, F.col("fell_us")).otherwise(F.col("tail.us"))
+    reason = F.when(~F.col("_open"), "all_dead").when(fell, "player_death").otherwise(QUIET)
+    return found.join(ends, keys).select(
+        "log_id",
+        "open_seq",
+        F.col("head.us").alias("start_us"),
+        end.alias("end_us"),
+        "enemy_guids",
+        reason.alias("close_reason"),
+    )
+
+
+def _row_by_row(counted: DataFrame, timeout_us: int) -> DataFrame:
+    """Encounters of logs where the order of lines and the clock disagree, by the rule itself."""
     slot = F.floor(F.col("us") / F.lit(timeout_us)).cast("bigint")
-    activity = _islands(_condense(counted.withColumn("slot", slot)))
+    activity = _islands(_condense(_with_laps(counted).withColumn("slot", slot)))
     parts = activity.repartition("log_id", "island").sortWithinPartitions("log_id", "island", "seq")
     wanted = ["log_id", "island", "seq", "kind", "first_us", "last_us", "guids", "is_player"]
-    return parts.select(*wanted).mapInPandas(_run_parts(timeout_us), _PART_SCHEMA).select(
+    return parts.select(*wanted).mapInPandas(_run_parts(timeout_us), _PART_SCHEMA)
+
+
+def encounter_intervals(hostile: DataFrame, timeout_s: float = fixed.ENCOUNTER_TIMEOUT_S) -> DataFrame:
+    """Encounters without ids and zones, from ``hostile_rows``.
+
+    Logs whose clock runs backwards somewhere, or with a player's death that is an enemy's too, go
+    row by row; all others, however large and busy, are cut by built-in steps that no log gathers in
+    one task.
+    """
+    timeout_us = int(round(timeout_s * 1_000_000))
+    # Parsed once: what follows reads these narrow rows, not the log text.
+    counted = cut(_counted(cut(hostile)))
+    back = counted.filter(F.col("us") < F.col("prev_us")).select("log_id").distinct()
+    both = counted.groupBy("log_id", "guid").agg(F.max("is_player").alias("_player"), F.max(F.col("kind") == HITS).alias("_hit"))
+    odd = cut(back.unionByName(both.filter("_player AND _hit").select("log_id")).distinct())
+    if odd.isEmpty():
+        found = _merged(_parts(_active(counted), timeout_us))
+    else:
+        plain = counted.join(odd, "log_id", "left_anti")
+        found = _merged(_parts(_active(plain), timeout_us)).unionByName(
+            _row_by_row(cut(counted.join(odd, "log_id", "left_semi")), timeout_us)
+        )
+    return found.select(
         "log_id",
         "open_seq",
         F.timestamp_micros("start_us").alias("start_ts"),

@@ -18,16 +18,15 @@ def _bucket(us):
 def _spans(encounters: DataFrame) -> DataFrame:
     """Encounters with the start of the next one and the lines of their lap.
 
-    Where an encounter starts before the one before it, the log's clock has
-    been set back and a new lap begins. Within a lap encounters follow each
+    Where an encounter starts before the end of the one before it, the log's
+    clock has been set back and a new lap begins. Within a lap encounters follow each
     other in time, so that one at most covers an event; next_start is that of
     the next encounter of the lap, _lap_from and _lap_to bound its lines (null:
     open, so a log with one lap needs no line numbers).
     """
     block = seq_block("combat_id")
-    rows = running(
-        encounters, ["log_id"], block, ["combat_id"], {"_prev": ("last", F.col("start_ts"))}, before=True
-    )
+    latest = F.greatest("start_ts", "end_ts")
+    rows = running(encounters, ["log_id"], block, ["combat_id"], {"_prev": ("last", latest)}, before=True)
     opens = F.when(F.col("start_ts") < F.col("_prev"), F.col("open_seq"))
     rows = running(rows, ["log_id"], block, ["combat_id"], {"_lap_from": ("last", opens)})
     rows = running(
@@ -38,7 +37,7 @@ def _spans(encounters: DataFrame) -> DataFrame:
         {"next_start": ("last", F.col("start_ts")), "_lap_to": ("last", opens)},
         before=True,
     )
-    same_lap = F.col("next_start") >= F.col("start_ts")
+    same_lap = F.col("next_start") >= latest
     return rows.withColumn("next_start", F.when(same_lap, F.col("next_start")))
 
 

@@ -193,3 +193,43 @@ def test_one_stamp_per_event_where_the_clock_steps_back(spark):
     )
     got = stamped_events(lines, encounters).orderBy("seq").collect()
     assert [(r.seq, r.combat_id) for r in got] == [(0, 1), (2, 2), (3, 2), (5, 3), (6, 3), (7, 3)]
+
+
+def test_stamps_where_the_clock_steps_back_a_little(spark):
+    """The second fight starts and ends, by the clock, inside the first one."""
+    texts = [
+        spell_hit(0, ME, mob(1)), spell_hit(250, ME, mob(1)), spell_hit(290, ME, mob(1)), spell_hit(300, ME, mob(1)),
+        spell_hit(240, ME, mob(2)), spell_hit(250, ME, mob(2)), spell_hit(260, ME, mob(2)), spell_hit(290, ME, mob(2)),
+    ]
+    encounters = spark.createDataFrame(
+        [("main", 1, 0, 0, 300), ("main", 2, 4, 240, 260)],
+        "log_id string, combat_id long, open_seq long, a int, b int",
+    ).selectExpr(
+        "log_id", "combat_id", "open_seq",
+        f"timestamp'{START}' + make_interval(0,0,0,0,0,0,a) AS start_ts",
+        f"timestamp'{START}' + make_interval(0,0,0,0,0,0,b) AS end_ts",
+        "1 AS zone_id", "'Z' AS zone_name",
+    )
+    got = stamped_events(lines_df(spark, texts), encounters).orderBy("seq").collect()
+    assert [r.combat_id for r in got] == [1, 1, 1, 1, 2, 2, 2, 0]
+
+
+def test_one_busy_log_without_a_quiet_gap(spark, monkeypatch):
+    """Hundreds of blocks, nothing longer than the timeout without a hit: built-in steps only."""
+    monkeypatch.setattr(scans, "BLOCK_BITS", 4)
+    rng, ms, rows, texts = random.Random(5), 0, [], []
+    for k in range(3000):
+        ms += rng.choice([0, 200, 900, 3000])
+        unit = k // 12 + rng.randrange(4)
+        if rng.random() < 0.75:
+            rows.append((ms, "hit", f"Creature-{unit}"))
+            texts.append(spell_hit(ms / 1000, ME, mob(unit)))
+        else:
+            rows.append((ms, "death", f"Creature-{unit}"))
+            texts.append(died(ms / 1000, mob(unit)))
+    df = encounters_of(lines_df(spark, texts))
+    got = [
+        ((r.start_ts - START) // timedelta(milliseconds=1), (r.end_ts - START) // timedelta(milliseconds=1), frozenset(r.enemy_guids))
+        for r in df.orderBy("combat_id").collect()
+    ]
+    assert got == account(rows, 8000) and len(got) > 20
