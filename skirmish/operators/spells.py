@@ -87,8 +87,8 @@ def spell_filter_options(events: DataFrame, top_n: int = fixed.DEFAULT_ABILITIES
     return both.select(*COMBAT, F.row_number().over(order).alias("position"), "option", "spell", "kind")
 
 
-def most_cast(events: DataFrame, n: int = 25, of: int = 40) -> DataFrame:
-    """Most used abilities among the best ``of`` by damage and by healing.
+def most_cast(events: DataFrame, n: int | None = 25, of: int | None = 40) -> DataFrame:
+    """Most used abilities among the best ``of`` by damage and by healing; all for None.
 
     Healing abilities carry the label heal.
     """
@@ -96,7 +96,7 @@ def most_cast(events: DataFrame, n: int = 25, of: int = 40) -> DataFrame:
     damage = spell_aggregates(fights, "damage", of).withColumn("type", F.lit("damage"))
     healing = spell_aggregates(fights, list(fixed.HEALING_TYPES), of).drop("kind")
     both = damage.unionByName(healing.withColumn("type", F.lit("heal")))
-    return both.orderBy(F.desc("count"), "spell", "type").limit(n)
+    return first_rows(both, [], [F.desc("count"), F.col("spell"), F.col("type")], n)
 
 
 def run_abilities(events: DataFrame, combat_runs: DataFrame, types, top_n: int = 200) -> DataFrame:

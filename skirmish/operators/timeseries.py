@@ -139,13 +139,14 @@ def trend_long(trend: DataFrame) -> DataFrame:
     return trend.unpivot(COMBAT, ["dps", "hps", "dps_roll", "hps_roll"], "metric", "value")
 
 
-def cumulative_frames(
+def cumulative_spans(
     events: DataFrame, step_s: int = 1, max_bars: int | None = None, max_frames: int | None = None
 ) -> DataFrame:
-    """Damage so far of every source, for every step of every combat.
+    """Damage so far of every source of every combat, as stretches of frames (from, to) with one value.
 
     The last frame holds all damage. For a display, max_bars keeps the best
     sources by the damage of the whole combat, and max_frames the first frames.
+    Rows grow with the events, not with the length of a combat.
     """
     starts = combat_starts(events)
     timed = events.filter(is_damage() & F.col("ts").isNotNull() & F.col("source").isNotNull())
@@ -163,20 +164,27 @@ def cumulative_frames(
     last = F.greatest(F.lit(1), F.ceil(F.col("span_us") / F.lit(step_s * 1_000_000))).cast("bigint")
     if max_frames is not None:
         last = F.least(F.lit(max_frames - 1).cast("bigint"), last)
-    # Each row stands until the next one; the first also for the frames before it, at 0.
+    # Each row stands until the next one; before the first all is 0.
     order = Window.partitionBy(*COMBAT, "source").orderBy("frame")
-    begin = F.when(F.lag("frame").over(order).isNull(), F.lit(0)).otherwise(F.col("frame")).cast("bigint")
+    end = F.coalesce(F.lead("frame").over(order) - 1, last)
+    stretch = lambda begin, end, damage: F.struct(
+        begin.cast("bigint").alias("from_frame"), F.least(end, last).alias("to_frame"), damage.alias("damage")
+    )
+    none_before = F.when(F.lag("frame").over(order).isNull(), stretch(F.lit(0), F.col("frame") - 1, F.lit(0).cast("bigint")))
     held = per_second.select(
         *COMBAT,
         "source",
-        F.col("frame").alias("_from"),
-        begin.alias("_begin"),
-        F.least(F.lead("frame").over(order) - 1, last).alias("_end"),
-        F.coalesce(F.sum("d").over(order), F.lit(0)).alias("_sum"),
-    ).filter("_begin <= _end")
-    return held.select(*COMBAT, "source", "_from", "_sum", F.explode(F.sequence("_begin", "_end")).alias("frame")).select(
-        *COMBAT,
-        "source",
-        "frame",
-        F.when(F.col("frame") < F.col("_from"), 0).otherwise(F.col("_sum")).alias("damage"),
+        F.array(none_before, stretch(F.col("frame"), end, F.coalesce(F.sum("d").over(order), F.lit(0)))).alias("_both"),
+    )
+    return held.select(*COMBAT, "source", F.explode("_both").alias("_one")).select(*COMBAT, "source", "_one.*").filter(
+        "from_frame <= to_frame"
     )
+
+
+def cumulative_frames(
+    events: DataFrame, step_s: int = 1, max_bars: int | None = None, max_frames: int | None = None
+) -> DataFrame:
+    """cumulative_spans with one row for every step."""
+    spans = cumulative_spans(events, step_s, max_bars, max_frames)
+    frames = F.explode(F.sequence("from_frame", "to_frame")).alias("frame")
+    return spans.select(*COMBAT, "source", "damage", frames).select(*COMBAT, "source", "frame", "damage")

@@ -29,6 +29,8 @@ PAIR = ["P0-Realm-EU", "P2-Realm-EU"]
 HEALING = list(HEALING_TYPES)
 # The whole month the driver's events cover.
 MONTH = ("2024-01-01", "2024-02-01")
+# Two hours of the replay; its log begins before and ends after.
+HOURS = ("2024-01-01 01:00:00", "2024-01-01 03:00:00")
 
 
 def flat(df: DataFrame, places: int = 6) -> DataFrame:
@@ -138,6 +140,8 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     "overall_stats": lambda d: mt.overall_stats(d.ev),
     "character_headline": lambda d: mt.character_headline(d.ev),
     "target_totals": lambda d: mt.target_totals(d.ev),
+    "target_totals_character": lambda d: mt.target_totals(d.ev, PAIR[0]),
+    "totals_meta_character": lambda d: mt.totals_meta(d.ev, PAIR[0]),
     "totals_view": lambda d: mt.totals_view(d.ev),
     "totals_meta": lambda d: mt.totals_meta(d.ev),
     "top_targets": lambda d: mt.top_targets(d.ev),
@@ -145,6 +149,7 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     "source_options": lambda d: mt.source_options(d.ev, include_others=True),
     "combat_headline": lambda d: mt.combat_headline(d.ev),
     "damage_by_target": lambda d: mt.damage_by_target(d.ev),
+    "damage_by_target_top": lambda d: mt.damage_by_target(d.ev, 3),
     "main_target_hits": lambda d: mt.main_target(d.ev, "hits"),
     "main_target_damage": lambda d: mt.main_target(d.ev, "damage"),
     "main_target_header": lambda d: mt.main_target(d.ev, "header"),
@@ -152,6 +157,7 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     "loaded_encounters": lambda d: mt.loaded_encounters(d.ev),
     "recent_events": lambda d: mt.recent_events(d.ev, d.newest),
     "session_banner": lambda d: mt.session_banner(d.ev),
+    "session_banner_day": lambda d: mt.session_banner(d.ev, "2024-01-10"),
     "hour_activity": lambda d: mt.hour_activity(mt.encounter_stats(d.ev)),
     "next_combat_id": lambda d: tables.next_combat_id(d.ev),
     # Abilities.
@@ -164,6 +170,7 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     "character_spells_healing": lambda d: sp.character_spells(d.ev, HEALING),
     "spell_filter_options": lambda d: sp.spell_filter_options(d.ev),
     "most_cast": lambda d: sp.most_cast(d.ev),
+    "most_cast_all": lambda d: sp.most_cast(d.ev, None, None),
     "ability_uptime": lambda d: sp.ability_uptime(d.ev),
     "rotation_timeline": lambda d: sp.rotation_timeline(d.ev),
     # Runs and kills.
@@ -191,6 +198,7 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     "encounter_trend": lambda d: tm.encounter_trend(mt.encounter_stats(d.ev)),
     "trend_long": lambda d: tm.trend_long(tm.encounter_trend(mt.encounter_stats(d.ev))),
     "cumulative_frames": lambda d: tm.cumulative_frames(d.ev, 60),
+    "cumulative_spans": lambda d: tm.cumulative_spans(d.ev),
     # Comparisons.
     "fingerprints": lambda d: cp.fingerprints(d.ev),
     "encounter_sequence": lambda d: cp.encounter_sequence(d.ev),
@@ -228,6 +236,8 @@ _QUERIES: dict[str, Callable[[_Data], DataFrame]] = {
     "log_summary": lambda d: ps.log_summary(ps.parse_player_events(d.lines)),
     "extract_positions": lambda d: po.extract_positions(d.lines, *MONTH),
     "position_units": lambda d: po.position_units(d.lines, *MONTH),
+    "extract_positions_range": lambda d: po.extract_positions(d.lines, *HOURS),
+    "replay_duration": lambda d: po.replay_duration(d.ev),
     "detect_encounters": lambda d: encounters_of(d.lines),
     "stamped_events": lambda d: stamped_events(d.lines, cut(encounters_of(d.lines))),
 }

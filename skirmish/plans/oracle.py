@@ -800,6 +800,47 @@ _BODIES["totals_view"] = (
     f"SELECT * FROM ({_BODIES['target_totals'][0]}) ORDER BY encounters DESC, total_damage DESC, target LIMIT 50",
     "total_time_s dps hps",
 )
+_BODIES["target_totals_character"] = (
+    _BODIES["target_totals"][0].replace("FROM ev WHERE target <> ''", "FROM ev WHERE source = 'P0-Realm-EU' AND target <> ''"),
+    _BODIES["target_totals"][1],
+)
+_BODIES["totals_meta_character"] = (
+    """SELECT count(*) AS total_combats, CAST(sum(span) AS BIGINT) / 1e6 AS total_duration_s,
+  (SELECT count(DISTINCT target) FROM ev WHERE source = 'P0-Realm-EU' AND target <> '') AS unique_targets
+FROM (SELECT max(us) - min(us) AS span FROM ev WHERE source = 'P0-Realm-EU' GROUP BY log_id, combat_id)""",
+    "total_duration_s",
+)
+_BODIES["session_banner_day"] = (
+    f"SELECT * FROM ({_BODIES['session_banner'][0]}) WHERE day = '2024-01-10'",
+    _BODIES["session_banner"][1],
+)
+_BODIES["damage_by_target_top"] = (
+    f"""SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY log_id, combat_id ORDER BY damage DESC, target) AS r
+  FROM ({_BODIES['damage_by_target'][0]})) WHERE r <= 3""",
+    "pct",
+)
+_BODIES["most_cast_all"] = (
+    f"""SELECT *, 'damage' AS type FROM ({_spells("type = 'damage'", top=1000000, source='fights')})
+UNION ALL SELECT *, 'heal' AS type FROM ({_spells(_HEAL, top=1000000, source='fights')})""",
+    "avg pct",
+)
+_BODIES["extract_positions_range"] = (
+    """SELECT log_id, seq, round_even((us - 1704070800000000) / 1e6, 2) AS t, pguid AS guid, x, y FROM located
+WHERE us BETWEEN 1704070800000000 AND 1704078000000000""",
+    "t x y",
+)
+_BODIES["replay_duration"] = ("SELECT log_id, combat_id, span_us / 1e6 AS duration_s FROM starts ", "duration_s")
+_BODIES["cumulative_spans"] = (
+    """SELECT log_id, combat_id, source, frame AS from_frame,
+  coalesce(lead(frame) OVER w - 1, greatest(1, (span + 999999) // 1000000)) AS to_frame, CAST(sum(d) OVER w AS BIGINT) AS damage
+FROM (SELECT e.log_id, e.combat_id, source, (us - start_us + 999999) // 1000000 AS frame, sum(effective_amount) AS d,
+    any_value(span_us) AS span FROM ev e JOIN starts USING (log_id, combat_id) WHERE type = 'damage' GROUP BY ALL)
+WINDOW w AS (PARTITION BY log_id, combat_id, source ORDER BY frame)
+UNION ALL SELECT e.log_id, e.combat_id, source, 0, (min(us - start_us) + 999999) // 1000000 - 1, 0
+FROM ev e JOIN starts USING (log_id, combat_id) WHERE type = 'damage'
+GROUP BY ALL HAVING (min(us - start_us) + 999999) // 1000000 > 0""",
+    "",
+)
 for _policy, _choice in {
     "damage": "coalesce(by_damage, first_seen, longest)",
     "header": "coalesce(by_hits, longest, first_time)",

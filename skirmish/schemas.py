@@ -37,6 +37,9 @@ NOTES = T.StructType(
     [T.StructField("combat_id", T.LongType()), T.StructField("note", T.StringType())]
 )
 
+STORED_NOTES = T.StructType([T.StructField("log_id", T.StringType()), *NOTES.fields])
+STORED_HIDDEN = T.StructType([T.StructField("log_id", T.StringType()), T.StructField("combat_id", T.LongType())])
+
 RAW_LINES = T.StructType(
     [
         T.StructField("log_id", T.StringType()),

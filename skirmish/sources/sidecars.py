@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skirmish import schemas
 from skirmish.schemas import COMBAT
+from skirmish.sources import manifest
 from skirmish.sources.tables import path_exists
 
 
@@ -104,3 +105,40 @@ def upsert_note(notes: DataFrame, changes: DataFrame) -> DataFrame:
 
 def write_notes(notes: DataFrame, path: str) -> None:
     notes.orderBy("combat_id").write.mode("overwrite").json(path)
+
+
+# --- kept in place ------------------------------------------------------------------------------
+
+
+def stored_notes(spark: SparkSession, path: str, seen: manifest.State | None = None) -> DataFrame:
+    """(log_id, combat_id, note) of a note table that is changed in place."""
+    return manifest.read_committed(spark, path, "notes", schemas.STORED_NOTES, seen)
+
+
+def stored_hidden(spark: SparkSession, path: str, seen: manifest.State | None = None) -> DataFrame:
+    """(log_id, combat_id) of a table of hidden encounters that is changed in place."""
+    return manifest.read_committed(spark, path, "hidden", schemas.STORED_HIDDEN, seen)
+
+
+def change_notes(spark: SparkSession, path: str, changes: DataFrame) -> None:
+    """Apply changes (log_id, combat_id, note) to the table they are read from.
+
+    A version is written beside the old one and takes its place by one commit; who reads meanwhile sees
+    the old one whole. If another writer was faster the changes are applied to what it wrote.
+    """
+    _change(spark, path, "notes", lambda seen: upsert_note(stored_notes(spark, path, seen), changes), schemas.STORED_NOTES)
+
+
+def toggle_stored(spark: SparkSession, path: str, combat_ids: DataFrame) -> None:
+    """Hide what is shown and show what is hidden, in place, for (log_id, combat_id); see change_notes."""
+    _change(
+        spark, path, "hidden", lambda seen: toggle_hidden(stored_hidden(spark, path, seen), combat_ids), schemas.STORED_HIDDEN
+    )
+
+
+def _change(spark: SparkSession, path: str, name: str, apply, schema) -> None:
+    while True:
+        seen = manifest.state(spark, path)
+        rows = apply(seen).select(*schema.fieldNames()).coalesce(1)
+        if manifest.try_commit(spark, path, seen, {name: [manifest.add_folder(rows, path, name)]}, [name]):
+            return

@@ -1,6 +1,7 @@
 import gzip
 import json
 import os
+import threading
 import time
 
 from samples import ME, START, died, events_df, heal, line, mob, spell_hit, zone
@@ -183,3 +184,36 @@ def test_event_csv_keeps_file_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.combat_id for r in got] == list(range(n))
+
+
+def test_notes_and_hidden_ids_change_in_place(spark, tmp_path):
+    path, errors = str(tmp_path / "side"), []
+    table = "log_id string, combat_id bigint, note string"
+
+    def write(n):
+        try:
+            for k in range(3):
+                sidecars.change_notes(spark, path, spark.createDataFrame([("ann", 10 * n + k, f"w{n}")], table))
+        except Exception as error:  # shown by the assertion below
+            errors.append(error)
+
+    writers = [threading.Thread(target=write, args=(n,)) for n in (1, 2)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert not errors
+    # no note of either writer is lost
+    assert sorted(tuple(r) for r in sidecars.stored_notes(spark, path).collect()) == [
+        ("ann", 10 * n + k, f"w{n}") for n in (1, 2) for k in range(3)
+    ]
+    old = sidecars.stored_notes(spark, path)
+    sidecars.change_notes(spark, path, spark.createDataFrame([("ann", 10, ""), ("ann", 11, "new"), ("bob", 11, "own")], table))
+    assert len(old.collect()) == 6  # a reader keeps the version it began with
+    got = {(r.log_id, r.combat_id): r.note for r in sidecars.stored_notes(spark, path).collect()}
+    assert len(got) == 6 and got["ann", 11] == "new" and got["bob", 11] == "own" and ("ann", 10) not in got
+    ids = spark.createDataFrame([("ann", 1), ("ann", 2)], "log_id string, combat_id bigint")
+    sidecars.toggle_stored(spark, path, ids)
+    sidecars.toggle_stored(spark, path, ids.limit(1).union(spark.createDataFrame([("bob", 2)], ids.schema)))
+    assert sorted(tuple(r) for r in sidecars.stored_hidden(spark, path).collect()) == [("ann", 2), ("bob", 2)]
+    assert len(sidecars.stored_notes(spark, path).collect()) == 6
