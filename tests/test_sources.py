@@ -3,12 +3,14 @@ import json
 import os
 import threading
 import time
+from datetime import timedelta
 
 from samples import ME, START, died, events_df, heal, line, mob, spell_hit, zone
 
+from skirmish.operators.metrics import combat_players, encounter_stats
 from skirmish.operators.runs import assign_runs, encounter_summary, run_roles, runs
 from skirmish.plans.import_logs import import_logs, imported
-from skirmish.sources import logs, sidecars, tables
+from skirmish.sources import layout, logs, sidecars, tables
 
 
 def test_lines_keep_file_order_over_files_and_splits(spark, tmp_path):
@@ -217,3 +219,31 @@ def test_notes_and_hidden_ids_change_in_place(spark, tmp_path):
     sidecars.toggle_stored(spark, path, ids.limit(1).union(spark.createDataFrame([("bob", 2)], ids.schema)))
     assert sorted(tuple(r) for r in sidecars.stored_hidden(spark, path).collect()) == [("ann", 2), ("bob", 2)]
     assert len(sidecars.stored_notes(spark, path).collect()) == 6
+
+
+def test_bucketed_events_need_no_shuffle_and_skip_days(spark, tmp_path):
+    day = 24 * 3600
+    rows = [(k % 7, d * day + k, "E", "A", f"T{k % 3}", "S", 5, 5, "damage", 1, "Z", 7) for d in range(6) for k in range(40)]
+    ev = events_df(spark, rows + [(3, None, "E", "A", "T", "S", 5, 5, "damage", 1, "Z", 7)])
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS laid LOCATION '{tmp_path}/laid'")
+    layout.save_events(ev, "laid.events", 4)
+    saved = layout.saved_events(spark, "laid.events")
+    assert sorted(map(tuple, saved.collect()), key=repr) == sorted(map(tuple, ev.collect()), key=repr)
+    adaptive, small = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = encounter_stats(saved).join(combat_players(saved), ["log_id", "combat_id"], "left")
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        at = lambda d, s=0: START + timedelta(days=d, seconds=s)
+        cut_ = layout.saved_events(spark, "laid.events", at(2, 10), at(3, 5))
+        assert cut_.count() == 30 + 6
+        cut_.collect()
+        scan = cut_._jdf.queryExecution().executedPlan().collectLeaves().head()
+        # two days of four buckets, of six such days and a row without a time
+        assert scan.metrics().apply("numFiles").value() == 2 * 4 and len(saved.inputFiles()) == 6 * 4 + 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+        spark.sql("DROP DATABASE laid CASCADE")
