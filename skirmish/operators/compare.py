@@ -439,28 +439,37 @@ def newest_kill_deltas(boss_rows: DataFrame) -> DataFrame:
     return _delta(ranked.filter((F.col("_rank") == 1) & F.col("right_id").isNotNull()))
 
 
-def _two_combats(events: DataFrame, left, right, log_id: str | None) -> DataFrame:
-    rows = events.filter((F.col("combat_id") == left) | (F.col("combat_id") == right))
-    return rows if log_id is None else rows.filter(F.col("log_id") == log_id)
-
-
 def _as_id(combat: int | Column) -> Column:
     return combat if isinstance(combat, Column) else F.lit(combat).cast("bigint")
 
 
+def _two_combats(events: DataFrame, left, right, log_id: str | None) -> tuple[DataFrame, DataFrame]:
+    """Events of two combats as a table, and (log_id, combat_id, left, right): which of the two each is.
+
+    The ids may come from queries of their own; they are looked up here and nowhere else, and what
+    follows reads two combats, not the events.
+    """
+    is_left, is_right = F.col("combat_id") == _as_id(left), F.col("combat_id") == _as_id(right)
+    rows = events.select("*", is_left.alias("_left"), is_right.alias("_right")).filter("_left OR _right")
+    rows = cut(rows if log_id is None else rows.filter(F.col("log_id") == log_id))
+    sides = rows.groupBy(*COMBAT).agg(F.max("_left").alias("left"), F.max("_right").alias("right"))
+    return rows.drop("_left", "_right"), cut(sides)
+
+
 def compared_spells(
     events: DataFrame, left: int | Column, right: int | Column, log_id: str | None = None
 ) -> DataFrame:
     """Abilities of either combat in display order: left by use, then right-only by use."""
-    left, right = _as_id(left), _as_id(right)
-    side = F.when(F.col("combat_id") == left, 0).otherwise(1)
-    place = (
-        spell_ranks(_two_combats(events, left, right, log_id))
-        .groupBy("log_id", "spell_name")
-        .agg(F.min(F.struct(side.alias("side"), "spell_rank")).alias("place"))
+    return _display_order(*_two_combats(events, left, right, log_id))
+
+
+def _display_order(rows: DataFrame, sides: DataFrame) -> DataFrame:
+    place = F.struct(F.when(F.col("left"), 0).otherwise(1).alias("side"), "spell_rank")
+    places = (
+        spell_ranks(rows).join(sides, COMBAT).groupBy("log_id", "spell_name").agg(F.min(place).alias("place"))
     )
     order = Window.partitionBy("log_id").orderBy("place", "spell_name")
-    return place.select("log_id", "spell_name", F.row_number().over(order).alias("position"))
+    return places.select("log_id", "spell_name", F.row_number().over(order).alias("position"))
 
 
 def rotation_compare(
@@ -469,16 +478,14 @@ def rotation_compare(
     """Timeline events of both combats, side by side on the same abilities.
 
     An ability that one side lacks appears there once, as a padding row at
-    elapsed -1.
+    elapsed -1. Both sides are those of the logs that hold either combat.
     """
-    left, right = _as_id(left), _as_id(right)
-    rows = _two_combats(events, left, right, log_id)
-    spells = compared_spells(rows, left, right)
-    logs = rows.select("log_id").distinct()
-    sides = logs.select("log_id", F.lit("Left").alias("side"), left.alias("combat_id")).unionByName(
-        logs.select("log_id", F.lit("Right").alias("side"), right.alias("combat_id"))
-    )
-    shown = rotation_timeline(rows, top=None).join(spells, ["log_id", "spell_name"]).join(sides, COMBAT)
+    rows, both = _two_combats(events, left, right, log_id)
+    spells = cut(_display_order(rows, both))
+    names = F.array(F.when(F.col("left"), "Left"), F.when(F.col("right"), "Right"))
+    shown_as = both.select(*COMBAT, F.explode(F.array_compact(names)).alias("side"))
+    sides = both.select("log_id").distinct().withColumn("side", F.explode(F.array(F.lit("Left"), F.lit("Right"))))
+    shown = rotation_timeline(rows, top=None).join(spells, ["log_id", "spell_name"]).join(shown_as, COMBAT)
     columns = ["log_id", "side", "spell_name", "position", "elapsed_s", "type", "effective_amount"]
     present = shown.select("log_id", "side", "spell_name").distinct()
     padding = (

@@ -28,6 +28,7 @@ from skirmish.functions.scalars import (
     sum_where,
 )
 from skirmish.schemas import COMBAT
+from skirmish.session import cut
 
 
 def in_combat(events: DataFrame) -> DataFrame:
@@ -358,8 +359,9 @@ def recent_encounters(
     if hidden is not None:
         keys = [c for c in COMBAT if c in hidden.columns]
         newest = newest.join(hidden.select(*keys).distinct(), keys, "left_anti")
-    # n rows at most, so a broadcast is safe.
-    rows = events.join(F.broadcast(newest.select(*COMBAT)), COMBAT, "left_semi")
+    newest = cut(newest)
+    # n rows at most, so a broadcast is safe; what follows reads the events of n combats.
+    rows = cut(events.join(F.broadcast(newest.select(*COMBAT)), COMBAT, "left_semi"))
     facts = rows.groupBy(*COMBAT).agg(
         healing_total().alias("total_heal"),
         seconds(span_us(F.min("ts"), F.max("ts"))).alias("duration_s"),
