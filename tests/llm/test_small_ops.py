@@ -626,3 +626,34 @@ def test_index_blocks_and_parts(spark, tmp_path, monkeypatch):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = warc.archive(pages, f"file://{tmp_path}/w").collect()
     assert sorted(r.page_id for r in got) == list(range(300))
+
+
+# --- tables without rows, and files ------------------------------------------------------------
+
+
+def test_operators_on_empty_tables(spark, docs):
+    none = docs([])
+    items = spark.createDataFrame([], "item_id long, text string")
+    some = docs([(1, "a text of a few plain words that nobody asked for")])
+    assert secret_scan.scan(none).count() == 0
+    assert token_counts.token_counts(none).count() == 0
+    assert line_dedup.line_classes(none).count() == 0
+    assert decontaminate.contaminated(none, items).count() == 0
+    assert [r.contaminated for r in decontaminate.contaminated(some, items).collect()] == [False]
+    assert mixing.mixed(none).count() == 0
+
+
+def test_shards_as_files(spark, docs, tmp_path):
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(200)] + [(None, None), (3, "again")]
+    df = docs(rows)
+    sharding.write_shards(df, str(tmp_path / "shards"), limit=2_000)
+    back = spark.read.option("basePath", str(tmp_path / "shards")).parquet(str(tmp_path / "shards"))
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows)
+    wanted = Counter((r.doc_id, "b" + r.shard) for r in sharding.assign_shards(df, limit=2_000).collect())
+    folders = [p for p in (tmp_path / "shards").iterdir() if p.name.startswith("shard=")]
+    assert {p.name.removeprefix("shard=") for p in folders} == {s for _, s in wanted} and len(folders) > 3
+    for folder in folders:
+        name = folder.name.removeprefix("shard=")
+        held = spark.read.parquet(str(folder)).collect()
+        assert Counter(r.doc_id for r in held) == Counter({i: k for (i, s), k in wanted.items() if s == name})
+        assert sum(len((r.text or "").encode()) for r in held) <= 2_000 or len({r.doc_id for r in held}) == 1
