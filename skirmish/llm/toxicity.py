@@ -40,6 +40,8 @@ LEXICON = 1_000
 # standard deviations of chance.
 SUPPORT, EXCESS = 4, 5.5
 WORD_VOTERS, STEM_VOTERS, STEM = 10, 4, 5
+# Bound of the linear classifier before its scale is fitted; only against overflow.
+LIMIT = 200.0
 CUTOFF = 0.7
 _PUNCTUATION = "!?.,;:\"'()[]{}<>|*#%&$_-+=/\\~`"
 
@@ -148,6 +150,19 @@ def _features(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return features, votes
 
 
+def _balanced(odds: np.ndarray, prior: float) -> np.ndarray:
+    """Probabilities from log odds, moved so that their mean is the prior.
+
+    Without that the toxic class drifts to whatever other group of documents draws votes.
+    """
+    low, high = -60.0 - odds.max(initial=0), 60.0 - odds.min(initial=0)
+    for _ in range(60):
+        shift = (low + high) / 2
+        found = 1 / (1 + np.exp(-np.clip(odds + shift, -30, 30)))
+        low, high = (low, shift) if found.mean() > prior else (shift, high)
+    return found
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50):
     """Posterior of the toxic class for each row, voters' accuracies, correlations.
 
@@ -179,8 +194,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50):
                 corr[np.ix_(alive, alive)] = np.corrcoef(left[:, alive].T)
             say = 1 / (1 + (corr**2).sum(1) - 1)
         odds = np.einsum("nmk,mk->n", shown * say[None, :, None], np.log(table[1] / table[0]))
-        odds = np.clip(odds + np.log(prior / (1 - prior)), -30, 30)
-        new = 1 / (1 + np.exp(-odds))
+        new = _balanced(odds, prior)
         if np.abs(new - posterior).max(initial=0) < 1e-6 and step > 10:
             break
         posterior = new
@@ -219,7 +233,12 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
         .limit(rows)
     )
     # at most TRAIN_ROWS ids: bounded, so broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # copies say nothing new, and would make every word of theirs look telling
+    once = found.groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")).agg(
+        F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d"), F.max("toxic").alias("toxic")
+    )
+    return once.orderBy("_text").limit(rows).select("d.doc_id", "d.text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -283,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     x = (x - model.centre) / model.scale
     model.weights = _logistic(x, posterior, 1.0)
     raw = x @ model.weights[:-1] + model.weights[-1]
-    slope, shift = _logistic(np.clip(raw, -8, 8)[:, None], truth, 0.1)
+    slope, shift = _logistic(np.clip(raw, -LIMIT, LIMIT)[:, None], truth, 0.1)
     # the posterior's direction is kept; only its scale and offset follow the labels
     model.platt = (max(float(slope), 1e-3), float(shift))
     return model
@@ -295,7 +314,7 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
         return np.zeros(len(texts))
     x, _ = _features(texts, model)
     raw = (x - model.centre) / model.scale @ model.weights[:-1] + model.weights[-1]
-    return 1 / (1 + np.exp(-(np.clip(raw, -8, 8) * model.platt[0] + model.platt[1])))
+    return 1 / (1 + np.exp(-(np.clip(raw, -LIMIT, LIMIT) * model.platt[0] + model.platt[1])))
 
 
 def _scored(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
