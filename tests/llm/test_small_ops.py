@@ -476,10 +476,11 @@ def test_edit_distance_is_exact_up_to_the_bound(spark):
         assert bad.count() == 0
 
 
-@pytest.mark.parametrize("crowd", [6, 1])
-def test_line_links_equal_brute_force(spark, docs, monkeypatch, crowd):
-    """``crowd`` of 1 sends nearly every segment through the finer split."""
+@pytest.mark.parametrize("crowd, letters", [(6, 12), (1, 12), (1, 1), (0, 0)])
+def test_line_links_equal_brute_force(spark, docs, monkeypatch, crowd, letters):
+    """Bounds of 1 send nearly every segment through the splits by segments and by letters, 0 all of them."""
     monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "CROWD_LETTERS", letters)
     rng = random.Random(4)
     base = ["".join(rng.choice("abcdefghé ") for _ in range(rng.randint(18, 40))) for _ in range(30)]
     lines = [edited(rng, rng.choice(base), rng.randint(0, 4)) for _ in range(400)]
@@ -519,6 +520,23 @@ def test_line_links_equal_brute_force(spark, docs, monkeypatch, crowd):
         assert (r.class_doc_id is not None, r.class_doc_id or 0, r.class_line_no) == min(head[find(x)])
 
 
+def test_line_links_in_a_crowd_meet_few(spark, docs):
+    """400 lines with one word of a common line replaced, and a typing error in every 40th: no pair per two of them."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(14)]
+    lines = []
+    for i in range(400):
+        new = list(words)
+        new[rng.randrange(14)] = "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+        lines.append(" ".join(new))
+    wanted = {(x, edited(rng, x, 1)) for x in lines[::40]}
+    df = line_dedup.lines_of(docs([(i, x) for i, x in enumerate(lines + [y for _, y in wanted])]))
+    named = {r.line: r.id for r in df.select("line", "id").collect()}
+    pairs = {(r.a, r.b) for r in line_dedup.candidates(df).collect()}
+    assert {tuple(sorted((named[x], named[y]))) for x, y in wanted if x != y} <= pairs
+    assert len(pairs) < 4_000  # of 84,000
+
+
 def test_keep_first_lines(spark, docs):
     long_ = "this line is long enough to count"
     rows = [(1, f"{long_}\nshort"), (2, f"{long_}!\nshort\nnew"), (3, None), (None, "")]
