@@ -362,6 +362,24 @@ def test_ann_is_exact_with_a_crowd_of_near_equal_vectors(spark):
         assert [found[k] for k in range(1, 21)] == np.lexsort((np.arange(n), -s))[:20].tolist()
 
 
+def test_ann_is_exact_where_vec_ids_stand_at_several_vectors(spark):
+    """Every vec_id at six vectors, and one at a third of the rows: all its rows are queries, none its neighbour."""
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(2400, 16)) * np.exp(rng.normal(size=(2400, 1)))).astype(np.float32).astype(float)
+    x[7] = x[0]
+    ids = np.array([20 if i % 3 == 0 else i % 400 for i in range(2400)])
+    got = defaultdict(list)
+    for r in ann.neighbours(vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)]), least=64).collect():
+        got[r.query_id].append((r.rank, -r.score, r.vec_id))
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    for q, found in got.items():
+        best = []
+        for v in x[ids == q]:
+            s = (x * v).cumsum(axis=1)[:, -1]
+            best += sorted(zip(-s[ids != q], ids[ids != q], strict=True))[:20]
+        assert [(s, i) for _, s, i in sorted(found)] == sorted(best)[:20]
+
+
 def test_ann_small_and_empty(spark):
     assert ann.neighbours(vectors(spark, [])).count() == 0
     got = ann.neighbours(vectors(spark, [(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (20, [0.0, 2.0], 0)])).collect()
