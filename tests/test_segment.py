@@ -1,6 +1,7 @@
 """Encounter detection against a plain row-by-row account of the rules."""
 
 import random
+import re
 from datetime import timedelta
 
 import pytest
@@ -214,6 +215,35 @@ def test_stamps_where_the_clock_steps_back_a_little(spark):
     assert [r.combat_id for r in got] == [1, 1, 1, 1, 2, 2, 2, 0]
 
 
+def test_many_laps_are_joined_by_lap(spark, capsys):
+    """Forty laps over the same minute: an event meets the encounter of its own lap only."""
+    texts = [x for k in range(40) for x in (spell_hit(k % 7, ME, mob(k)), spell_hit(k % 7 + 1, ME, mob(k)), spell_hit(50, ME, mob(k)))]
+    encounters = spark.createDataFrame(
+        [("main", k + 1, 3 * k, k % 7, k % 7 + 2) for k in range(40)],
+        "log_id string, combat_id long, open_seq long, a int, b int",
+    ).selectExpr(
+        "log_id", "combat_id", "open_seq",
+        f"timestamp'{START}' + make_interval(0,0,0,0,0,0,a) AS start_ts",
+        f"timestamp'{START}' + make_interval(0,0,0,0,0,0,b) AS end_ts",
+        "1 AS zone_id", "'Z' AS zone_name",
+    )
+    laps, last = [], None
+    for k in range(40):
+        laps.append(laps[-1] + (k % 7 < last) if laps else 0)
+        last = k % 7 + 2
+    want = []
+    for k in range(40):
+        for at in (k % 7, k % 7 + 1, 50):
+            inside = [i for i in range(40) if laps[i] == laps[k] and i % 7 <= at <= i % 7 + 2]
+            inside = [i for i in inside if not (i + 1 < 40 and laps[i + 1] == laps[i] and at >= (i + 1) % 7)]
+            want.append(inside[0] + 1 if inside else 0)
+    df = stamped_events(lines_df(spark, texts), encounters)
+    assert [r.combat_id for r in df.orderBy("seq").collect()] == want
+    capsys.readouterr()
+    df.explain()
+    assert re.search(r"Join \[[^\]]*_lap", capsys.readouterr().out)
+
+
 def test_one_busy_log_without_a_quiet_gap(spark, monkeypatch):
     """Hundreds of blocks, nothing longer than the timeout without a hit: built-in steps only."""
     monkeypatch.setattr(scans, "BLOCK_BITS", 4)
