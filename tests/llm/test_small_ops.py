@@ -99,6 +99,32 @@ def test_secrets_network_holds_out(spark, docs):
     assert flagged(clean) <= 0.05
 
 
+def test_secrets_learn_from_all_candidates(spark, docs, monkeypatch):
+    """Parts together see every window once a pass, and all held-out candidates set the thresholds, also far into a long word."""
+    rng = random.Random(9)
+    rows = [
+        (f"token {i} ", "".join(rng.choice("0123456789abcdef") for _ in range(40)), " ", True) if i % 2
+        else ("see ", f"v{i}." + "".join(rng.choice("ghijklmnop") for _ in range(30)) + ".example", "", False)
+        for i in range(3000)
+    ]
+    rows.append(("say ", "x1" * 200 + "".join(rng.choice("0123456789abcdef") for _ in range(600)), "", True))
+    found = spark.createDataFrame(rows, "before string, word string, after string, held boolean")
+    windows = {(bytes(s), bytes(t), int(h)) for b, w, a, h in rows for x, y in [(b, a)] + [("", "")] * h for s, t in secret_scan.encode(x, w, y)}
+    got = secret_scan._windows(found).collect()
+    assert len(got) == len(windows) and {(bytes(r.symbols), bytes(r.traits), r.truth) for r in got} == windows
+    counted = []
+    plain = secret_scan._logit_counts
+    monkeypatch.setattr(secret_scan, "_logit_counts", lambda *a: counted.extend(plain(*a)) or counted)
+    net = secret_scan.learn(found, 1024)
+    aside = found.where("pmod(xxhash64(before, word, after), 10) < 3")
+    assert sum(r.n for r in counted) == aside.count() + aside.where("held").count()
+    z = secret_scan._highest(net, [r[:3] for r in rows])
+    p = 1 / (1 + np.exp(-(net.slope * z + net.shift)))
+    verdict = np.array([a >= net.thresholds[secret_scan.group_of(r[1])] for a, r in zip(p, rows, strict=True)])
+    truth = np.array([r[3] for r in rows])
+    assert verdict[truth].mean() >= 0.95 and verdict[~truth].mean() <= 0.05
+
+
 def test_secrets_reads_long_candidates_whole(spark):
     word = "z" * 500 + "0123456789abcdef" * 4
     covered = "".join(
