@@ -14,17 +14,23 @@ Of the start positions only those count that leave enough edits on both sides
 of the segment (counted from the left for those before it, from the right for
 those after it); this loses no pair.
 
-Each (key, line) is made distinct before the join, so copies cost nothing.
+Different lines are written once, so copies cost nothing. Keys are all that is
+shuffled; lines that ask for a crowded key come out of the join as such, and
+only for them keys are worked out once more, with the text.
 Segments that many lines share are split further: the text around the segment
 must itself be within k edits, so lines are dealt once more by the k + 1
 segments of the rest (see ``_split``). Lines that differ in a word or two share
 such keys however often the rest is cut. So keys that are crowded even then
 are dealt by the letters of the rest: of a line within k edits all letters but
 k at most, counted with repeats, stand in the other one too, so both agree on
-a sum over their letters less k of them (less k minus the difference in length
-for the shorter one). Letters are folded into ``CLASSES`` classes, so a line
-asks for at most C(CLASSES + k - 1, k) sums, whatever its length and whoever
-shares its key. Both steps are exact. Candidate pairs are verified by the banded
+a sum over their letters less those that the other one lacks. Two lines meet
+only where what they leave out has no letter in common, that is under this one
+sum. Letters are folded into ``CLASSES`` classes, so a line
+asks for at most C(CLASSES + k, k) sums, whatever its length and whoever
+shares its key. Both steps are exact. Lines under split keys meet only where few
+letters and few pairs of letters stand an odd number of times in just one of
+them: an edit changes two letters and four pairs at most. Candidate pairs whose starts or ends are
+more than 2 k edits apart are dropped, the others verified by the banded
 bit-parallel edit distance. Keys have 48 bits; two that agree by chance cost a
 comparison.
 
@@ -45,12 +51,15 @@ from skirmish.llm.common import components, released
 from skirmish.session import cut
 
 EDITS, SHORTEST = 2, 20
-# Lines posted under one key beyond which the rest of the line is split too, by segments and by letters.
-CROWD, CROWD_LETTERS = 6, 12
+# Lines posted under one key beyond which the rest of the line is split too, by segments and by letters
+# (a line has some hundreds of letter sums, so these pay where it would meet more lines than that).
+CROWD, CROWD_LETTERS = 6, 512
 # Classes that letters are folded into.
 CLASSES = 32
 # Candidate lines sent to every task, at most (8 bytes each).
 MANY = 1 << 20
+# Characters at both ends of a pair that are compared first.
+ENDS = 48
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -137,10 +146,11 @@ def _entries(
 
 
 def _letter_sums(text: Column, posted: bool, edits: int) -> Column:
-    """Sums over the letters of a text, but for ``edits`` of them; of what is posted also but for fewer.
+    """(sum, out) over the letters of a text but for ``edits`` of them or fewer: what is left out is a set of bits.
 
-    Letters that are left out more often than they stand in the text give sums
-    that mean nothing; they cost a comparison at worst.
+    Posted are sums with every number left out, asked for those with as many as
+    the line is longer (``less``) or more. Letters that are left out more often than they
+    stand in the text give sums that mean nothing; they cost a comparison at worst.
     """
 
     def weight(c: Column) -> Column:
@@ -151,7 +161,8 @@ def _letter_sums(text: Column, posted: bool, edits: int) -> Column:
         both = F.struct(total.alias("total"), F.array_distinct(letters).alias("kinds"))
 
         def left_out(t: Column) -> Column:
-            steps = [F.array(F.struct(t["total"].alias("sum"), F.lit(-1).alias("last")))]
+            none = F.struct(t["total"].alias("sum"), F.lit(0).cast("long").alias("out"), F.lit(-1).alias("last"))
+            steps = [F.array(none)]
             for _ in range(edits):
                 steps.append(
                     F.flatten(
@@ -159,12 +170,18 @@ def _letter_sums(text: Column, posted: bool, edits: int) -> Column:
                             steps[-1],
                             lambda s: F.transform(
                                 F.filter(t["kinds"], lambda c: c >= s["last"]),
-                                lambda c: F.struct((s["sum"] - weight(c)).alias("sum"), c.alias("last")),
+                                lambda c: F.struct(
+                                    (s["sum"] - weight(c)).alias("sum"),
+                                    s["out"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)).alias("out"),
+                                    c.alias("last"),
+                                ),
                             ),
                         )
                     )
                 )
-            return F.concat(*steps) if posted else steps[-1]
+            if posted:
+                return F.concat(*steps)
+            return F.concat(*[F.when(F.col("less") <= n, step).otherwise(F.slice(step, 1, 0)) for n, step in enumerate(steps)])
 
         return _bound(both, left_out)
 
@@ -185,18 +202,19 @@ def _split(rows: DataFrame, crowded: DataFrame, posted: bool, edits: int, letter
     marked = rows.join(crowded.withColumn("crowded", F.lit(True)), "key", "left").withColumn(
         "line", F.when(F.col("crowded") & long_enough, rest)
     )
-    same = F.struct("key", "less", "at", "size")
+    nothing = F.lit(0).cast("long").alias("out")
+    same = F.struct("key", "less", "at", "size", nothing)
 
     def dealt(t: Column) -> Column:
         if letters:
             return F.transform(
-                _letter_sums(t, posted, edits), lambda x: F.struct(_key(F.col("key"), x["sum"]).alias("key"), "less", "at", "size")
+                _letter_sums(t, posted, edits), lambda x: F.struct(_key(F.col("key"), x["sum"]).alias("key"), "less", "at", "size", x["out"].alias("out"))
             )
         found = _entries(t, F.char_length(t), edits, 1, posted, None if posted else F.col("less"))
         return F.transform(
             found,
             lambda x: F.struct(
-                _key(F.col("key"), x["key"]).alias("key"), x["less"].alias("less"), x["at"].cast("long").alias("at"), x["size"].cast("long").alias("size")
+                _key(F.col("key"), x["key"]).alias("key"), x["less"].alias("less"), x["at"].cast("long").alias("at"), x["size"].cast("long").alias("size"), nothing
             ),
         )
 
@@ -321,12 +339,39 @@ def _banded(a: Column, b: Column, edits: int) -> Column:
     return F.least(found, F.lit(edits + 1))
 
 
-def _meet(posted: DataFrame, asked: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, that meet under a key."""
+def _odd(line: Column) -> Column:
+    """(letters, pairs): bits, folded to 64, of the letters and the pairs of letters that stand an odd number of times."""
+
+    def flipped(bits: Column, at: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int")))
+
+    def step(s: Column, c: Column) -> Column:
+        return F.struct(
+            c.alias("prev"),
+            flipped(s["letters"], F.pmod(F.ascii(c), F.lit(64))).alias("letters"),
+            flipped(s["pairs"], F.pmod(F.xxhash64(s["prev"], c), F.lit(64))).alias("pairs"),
+        )
+
+    zero = F.lit(0).cast("long")
+    begin = F.struct(F.lit("").alias("prev"), zero.alias("letters"), zero.alias("pairs"))
+    return F.aggregate(F.split(line, ""), begin, step, lambda s: F.struct(s["letters"].alias("letters"), s["pairs"].alias("pairs")))
+
+
+def _meet(posted: DataFrame, asked: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b), a < b, that meet under a key, leave out no letter both and differ in few odd letters and pairs."""
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        columns = {name: "id", f"{name}_out": "out", f"{name}_letters": "odd.letters", f"{name}_pairs": "odd.pairs"}
+        return rows.select("key", *[F.col(c).alias(n) for n, c in columns.items()])
+
+    def differing(of: str) -> Column:
+        return F.bit_count(F.col(f"p_{of}").bitwiseXOR(F.col(f"q_{of}")))
+
     return (
-        posted.select("key", F.col("id").alias("p"))
-        .join(asked.select("key", F.col("id").alias("q")), "key")
-        .where("p <> q")
+        side(posted, "p")
+        .join(side(asked, "q"), "key")
+        .where((F.col("p") != F.col("q")) & (F.col("p_out").bitwiseAND(F.col("q_out")) == 0))
+        .where((differing("letters") <= 2 * edits) & (differing("pairs") <= 4 * edits))
         .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     )
 
@@ -354,55 +399,86 @@ def _keyed(long_: DataFrame, edits: int, shortest: int, posted: bool) -> DataFra
     )
 
 
-def _posted(lines: DataFrame, edits: int, shortest: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(id, key) that every line is posted under, and the keys to split by segments and by letters.
+def different(lines: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """id, length, line of the different lines that can have links, written."""
+    return released(lines.where(F.col("length") >= shortest).select("id", "length", "line").distinct())
+
+
+def _crowded(entries: DataFrame, most: int) -> DataFrame:
+    """Keys that more than ``most`` lines are posted under."""
+    return cut(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"))
+
+
+def _split_pairs(texts: DataFrame, crowded: DataFrame, posting: DataFrame, asking: DataFrame, edits: int, shortest: int) -> DataFrame:
+    """Pairs that meet under crowded keys, which lines ``posting`` and ``asking`` (ids) share."""
 
-    Of a level only (key, id) is written; the text of lines is kept only where
-    their key is crowded, once per different line.
+    def split(ids: DataFrame, posted: bool) -> DataFrame:
+        rows = _keyed(texts.join(ids, "id", "left_semi"), edits, shortest, posted).join(crowded, "key", "left_semi")
+        return cut(_split(rows, crowded, posted, edits).distinct())
+
+    odd = cut(texts.join(posting.union(asking).distinct(), "id", "left_semi").select("id", _odd(F.col("line")).alias("odd")))
+    posted, asked = split(posting, True), split(asking, False)
+    again = _crowded(posted.where("line IS NOT NULL"), CROWD_LETTERS)
+    parts = [
+        released(_split(rows, again, side, edits, True).select("id", "key", "out").distinct())
+        for rows, side in ((posted, True), (asked, False))
+    ]
+    return _meet(*[part.join(odd, "id") for part in parts], edits)
+
+
+def _candidates(texts: DataFrame, edits: int, shortest: int) -> DataFrame:
+    """Pairs (a, b) of different lines that share a segment at a fitting place, each once.
+
+    A crowded key stands for the lines posted under it, as null, in the join
+    with what is asked for; where it is met, the asking line goes on to be split.
     """
-    rows = _keyed(lines, edits, shortest, True)
-    entries, levels, done = released(rows.select("id", "key", F.lit(True).alias("whole")).distinct()), [], []
-    for letters in (False, True):
-        counts = entries.where("whole").groupBy("key").agg(F.count("*").alias("n"))
-        crowded = cut(counts.where(F.col("n") > (CROWD_LETTERS if letters else CROWD)).select("key"))
-        levels.append(crowded)
-        done.append(entries.where("NOT whole").unionByName(entries.where("whole").join(crowded, "key", "left_anti")))
-        left = rows.where(F.col("line").isNotNull()).join(crowded, "key", "left_semi")
-        if not letters:
-            left = cut(left.dropDuplicates(["id", "key"]))
-        rows = _split(left, crowded, True, edits, letters)
-        entries = released(rows.select("id", "key", F.col("line").isNotNull().alias("whole")).distinct())
-    done.append(entries)
-    return reduce(DataFrame.unionByName, done).select("id", "key"), levels
+    posted = released(_keyed(texts, edits, shortest, True).select("id", "key"))
+    crowded = _crowded(posted, CROWD)
+    marks = posted.join(crowded, "key", "left_anti").select("key", F.col("id").alias("p")).unionByName(
+        crowded.select("key", F.lit(None).cast("long").alias("p"))
+    )
+    asked = _keyed(texts, edits, shortest, False).select("key", F.col("id").alias("q"))
+    # few lines a key: the postings are the smaller side, and hashed, not sorted
+    met = asked.join(marks.hint("shuffle_hash"), "key").where("p IS NULL OR p <> q")
+    met = released(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("p").isNull().alias("full")).distinct())
+    # written, so that the planner knows how few they are and does not shuffle the text to find them
+    posting = cut(posted.join(crowded, "key", "left_semi").select("id").distinct())
+    asking = cut(met.where("full").select(F.col("a").alias("id")).distinct())
+    more = _split_pairs(texts, crowded, posting, asking, edits, shortest)
+    return met.where("NOT full").select("a", "b").unionByName(more).distinct()
 
 
 def candidates(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """Pairs (a, b) of line ids that share a segment at a fitting place, each once.
+    """Pairs (a, b) of line ids that share a segment at a fitting place, each once."""
+    return _candidates(different(lines, shortest), edits, shortest)
+
+
+def _ends_near(x: Column, y: Column, edits: int) -> Column:
+    """Whether the first and the last characters leave room for ``edits``.
 
-    Whether crowded keys are sent to every task or joined by key is left to the
-    planner, which knows the size of their tables.
+    Cutting two texts within k edits after equally many characters costs k more at most.
     """
-    long_ = lines.where(F.col("length") >= shortest).select("id", "length", "line")
-    posted, levels = _posted(long_, edits, shortest)
-    asked = _keyed(long_, edits, shortest, False)
-    for letters, crowded in zip((False, True), levels, strict=True):
-        asked = _split(asked, crowded, False, edits, letters)
-    return _meet(posted, asked.select("id", "key").distinct()).distinct()
+    least = F.least(F.char_length(x), F.char_length(y), F.lit(ENDS))
+    starts = F.levenshtein(F.substring(x, F.lit(1), least), F.substring(y, F.lit(1), least), 2 * edits)
+    ends = F.levenshtein(F.substring(x, -least, least), F.substring(y, -least, least), 2 * edits)
+    return (starts >= 0) & (ends >= 0)
 
 
 def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """Pairs (a, b) of line ids within ``edits`` of each other."""
-    pairs = released(candidates(lines, edits, shortest))
+    texts = different(lines, shortest)
+    pairs = released(_candidates(texts, edits, shortest))
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # few lines are candidates; then the others need not be shuffled to find them
-    wanted = F.broadcast(ids) if ids.count() <= MANY else ids
-    texts = cut(
-        lines.select("id", "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    )
+    few = F.broadcast(ids) if ids.count() <= MANY else ids
+    wanted = cut(texts.select("id", "line").join(few, "id", "left_semi"))
+    near = F.when(
+        _ends_near(F.col("x"), F.col("y"), edits), edit_distance(F.col("x"), F.col("y"), edits) <= edits
+    ).otherwise(False)
     return cut(
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-        .where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
+        pairs.join(wanted.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+        .join(wanted.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+        .where(near)
         .select("a", "b")
     )
 
@@ -413,14 +489,28 @@ def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
     copies: occurrences of just this line; links: other lines within ``edits``;
     class_*: first occurrence of any line of its class.
     """
+    return _classes(lines_of(docs), edits, shortest)
+
+
+def line_members(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """A row per line of every row: doc_id, line_no, and copies, links, class_doc_id, class_line_no of its text."""
     lines = lines_of(docs)
+    classes = _classes(lines, edits, shortest).drop("doc_id", "line_no")
+    return lines.select("doc_id", "line_no", "id").join(classes.hint("merge"), "id").select(
+        "doc_id", "line_no", "copies", "links", "class_doc_id", "class_line_no"
+    )
+
+
+def _classes(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
     found = links(lines, edits, shortest)
     comp = cut(components(found))
     degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     first = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")))
-    members = comp.join(degree, "id").join(first.select("id", "first"), "id")
+    # linked lines are few: written, so that the planner can send them to the others
+    members = cut(comp.join(degree, "id")).join(first.select("id", "first"), "id")
+    members = cut(members)
     heads = members.groupBy("comp").agg(F.min("first").alias("head"))
-    linked = members.join(heads, "comp").select("id", "links", "head")
+    linked = cut(members.join(heads, "comp").select("id", "links", "head"))
     return first.join(linked, "id", "left").select(
         "first.doc_id",
         F.col("first.line_no").alias("line_no"),

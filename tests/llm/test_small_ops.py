@@ -581,6 +581,29 @@ def test_line_links_in_a_crowd_meet_few(spark, docs):
     assert len(pairs) < 4_000  # of 84,000
 
 
+def test_lines_of_one_letter_sum_meet_once_per_key(spark, docs):
+    """200 lines of the same words in other orders: equal letters, so they met under every sum before."""
+    rng = random.Random(11)
+    words = [f"{c}{c}x{c}yz" for c in "abcdefghijklmn"]
+    head = "".join(rng.choice("abcdefghijklmnop") for _ in range(60))
+    lines = sorted({head + " ".join(rng.sample(words, 14)) for _ in range(200)})
+    rows = spark.createDataFrame([(i, x, i + 1, 0, 1, len(head)) for i, x in enumerate(lines)], "id long, line string, key long, less int, at long, size long")
+    rows = rows.withColumn("key", F.lit(1).cast("long"))
+    crowded = rows.select("key").distinct()
+    same = F.struct(F.lit(0).cast("long").alias("letters"), F.lit(0).cast("long").alias("pairs"))
+    sides = [line_dedup._split(rows, crowded, posted, 2, True).withColumn("odd", same) for posted in (True, False)]
+    assert line_dedup._meet(*sides, 2).count() == len(lines) * (len(lines) - 1)
+
+
+def test_line_members_name_every_line(spark, docs):
+    long_ = "this line is long enough to count"
+    rows = [(1, f"{long_}\nshort"), (2, f"{long_}!\nshort\n{long_}"), (3, None), (4, f"\n{long_}")]
+    got = sorted(tuple(r) for r in line_dedup.line_members(docs(rows)).collect())
+    assert got == [
+        (1, 0, 3, 1, 1, 0), (1, 1, 2, 0, 1, 1), (2, 0, 1, 1, 1, 0), (2, 1, 2, 0, 1, 1), (2, 2, 3, 1, 1, 0), (4, 1, 3, 1, 1, 0),
+    ]
+
+
 def test_keep_first_lines(spark, docs):
     long_ = "this line is long enough to count"
     rows = [(1, f"{long_}\nshort"), (2, f"{long_}!\nshort\nnew"), (3, None), (None, "")]
